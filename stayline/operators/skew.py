@@ -1,0 +1,43 @@
+"""Groups that hold too many rows for one task.
+
+A window sorts each of its groups in one task. That is fine for a patient with a few dozen stays and fatal
+for a key that holds a third of the table. The helpers here find such keys and cut their groups into slices
+that keep the window's order, so that a slice is sorted on its own and only one small row per slice has to
+be carried from one slice to the next.
+
+Equi-joins need no helper: every fact table is on the left of its join, so adaptive execution can split a
+skewed partition of it and copy the matching part of the other side.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 200_000
+HOT_SHARE = 1e-4
+_LAST_SLICE = 2**31 - 1
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``min_rows`` rows and more than ``share`` of all rows.
+
+    There are fewer than ``1 / share`` of them whatever the size of ``df``, so they can be broadcast.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    return counts.where((F.col("_rows") > min_rows) & (F.col("_rows") > total * F.lit(share))).select(key)
+
+
+def hour_slice(time: Column) -> Column:
+    """Hours since 1970 as an integer slice number; rows without a time come last."""
+    days = F.unix_date(F.to_date(time))
+    return F.coalesce(days * 24 + F.hour(time), F.lit(_LAST_SLICE)).cast("int")
+
+
+def slice_hot(df: DataFrame, key: str, slice_number: Column, min_rows: int = HOT_ROWS,
+              share: float = HOT_SHARE) -> DataFrame:
+    """Add ``_slice``: the slice number for rows of hot keys, NULL for all others."""
+    hot = hot_keys(df, key, min_rows, share).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left")
+    return marked.withColumn("_slice", F.when(F.col("_hot"), slice_number)).drop("_key", "_hot")
