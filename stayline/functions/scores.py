@@ -15,7 +15,8 @@ def sigmoid(x: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    """Limited to 0..1; NULL stays NULL, which ``greatest`` alone would turn into 0."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def finite_or(x: Column, nan: float = 0.0, high: float | None = None, low: float | None = None) -> Column:
