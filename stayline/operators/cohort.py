@@ -12,6 +12,7 @@ from stayline.schema import READMISSION_WINDOW_DAYS
 
 MAX_ENCOUNTERS = 30_000
 SEED = 42
+UNKNOWN_PATIENT = -(2**63)
 
 
 def readmission_label(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
@@ -26,29 +27,22 @@ def readmission_label(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
         "encounter_id", "patient_id", "admit_time", "discharge_time"
     )
     sliced = skew.slice_hot(stays, "patient_id", skew.hour_slice(F.col("admit_time")), min_rows, share)
-    in_order = Window.partitionBy("patient_id", "_slice").orderBy(
-        F.col("admit_time").asc_nulls_last(), "encounter_id"
-    )
+    # a plain key for unknown patients too, so that window and join need the same partitioning
+    sliced = sliced.withColumn("_who", F.coalesce("patient_id", F.lit(UNKNOWN_PATIENT)))
+    in_order = Window.partitionBy("_who", "_slice").orderBy(F.col("admit_time").asc_nulls_last(), "encounter_id")
     linked = sliced.select(
         "*",
         F.lead("admit_time").over(in_order).alias("_next"),
         F.lead(F.lit(True), 1, False).over(in_order).alias("_has_next"),
     )
     # hot patients only: the last row of a slice continues with the first row of the patient's next slice
-    by_slice = Window.partitionBy("patient_id").orderBy("_slice")
+    by_slice = Window.partitionBy("_who").orderBy("_slice")
     carried = (
         sliced.where(F.col("_slice").isNotNull())
-        .groupBy("patient_id", "_slice").agg(F.min("admit_time").alias("_first"))
-        .select(
-            F.col("patient_id").alias("_patient"), F.col("_slice").alias("_of"),
-            F.lead("_first").over(by_slice).alias("_carried"),
-        )
-    )
-    joined = linked.join(
-        carried,
-        F.col("patient_id").eqNullSafe(F.col("_patient")) & (F.col("_slice") == F.col("_of")),
-        "left",
+        .groupBy("_who", "_slice").agg(F.min("admit_time").alias("_first"))
+        .select("_who", "_slice", F.lead("_first").over(by_slice).alias("_carried"))
     )
+    joined = linked.join(carried, ["_who", "_slice"], "left")
     next_admit = F.when(F.col("_has_next"), F.col("_next")).otherwise(F.col("_carried"))
     window = F.make_dt_interval(days=F.lit(READMISSION_WINDOW_DAYS))
     return joined.select(
@@ -63,17 +57,17 @@ def readmission_label(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
 
 def prior_admissions(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
                      share: float = skew.HOT_SHARE) -> DataFrame:
-    """(encounter_id, num_prior_admissions): the patient's strictly earlier admissions.
+    """Add ``num_prior_admissions``: the patient's strictly earlier admissions.
 
     Counts all encounters, discharged or not. No patient or no admit time gives 0.
     """
-    stays = encounters.select("encounter_id", "patient_id", "admit_time")
     known = F.col("patient_id").isNotNull() & F.col("admit_time").isNotNull()
     sliced = skew.slice_hot(
-        stays.where(known), "patient_id", skew.hour_slice(F.col("admit_time")), min_rows, share
+        encounters.where(known), "patient_id", skew.hour_slice(F.col("admit_time")), min_rows, share
     )
     in_order = Window.partitionBy("patient_id", "_slice").orderBy("admit_time")
     ranked = sliced.withColumn("_earlier", F.rank().over(in_order).cast("bigint") - 1)
+    # hot patients only: the rows of a patient's earlier slices
     slices_before = Window.partitionBy("patient_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sliced.where(F.col("_slice").isNotNull())
@@ -81,10 +75,10 @@ def prior_admissions(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
         .select("patient_id", "_slice", F.sum("_rows").over(slices_before).alias("_carried"))
     )
     counted = ranked.join(carried, ["patient_id", "_slice"], "left").select(
-        "encounter_id",
+        *encounters.columns,
         (F.col("_earlier") + F.coalesce("_carried", F.lit(0))).alias("num_prior_admissions"),
     )
-    rest = stays.where(~known).select("encounter_id", F.lit(0).cast("bigint").alias("num_prior_admissions"))
+    rest = encounters.where(~known).withColumn("num_prior_admissions", F.lit(0).cast("bigint"))
     return counted.unionByName(rest)
 
 

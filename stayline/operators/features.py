@@ -56,15 +56,12 @@ def encounter_features(tables: dict[str, DataFrame], min_rows: int = skew.HOT_RO
     Every event table is reduced to one row per encounter before it is joined, on the key it was reduced by,
     so that the joins add no shuffle to that of the reductions. What an encounter has no events for is 0.
     """
-    stays = (
-        tables["encounter"]
-        .where(F.col("admit_time").isNotNull() & F.col("discharge_time").isNotNull())
-        .select("encounter_id", "patient_id", "admit_time", "discharge_time")
-        .join(tables["patient"].select("patient_id", "gender", "anchor_age", "anchor_year"), "patient_id")
+    columns = ["encounter_id", "patient_id", "admit_time", "discharge_time"]
+    stays = prior_admissions(tables["encounter"].select(*columns), min_rows, share)
+    joined = stays.where(F.col("admit_time").isNotNull() & F.col("discharge_time").isNotNull()).join(
+        tables["patient"].select("patient_id", "gender", "anchor_age", "anchor_year"), "patient_id"
     )
-    joined = stays
     for reduced in (
-        prior_admissions(tables["encounter"], min_rows, share),
         diagnosis_counts(tables["diagnosis"]),
         medication_counts(tables["medication"]),
         vital_features(tables["vital_sign"]),

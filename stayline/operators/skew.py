@@ -25,7 +25,7 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, share: float = H
     There are fewer than ``1 / share`` of them whatever the size of ``df``, so they can be broadcast.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
     return counts.where((F.col("_rows") > min_rows) & (F.col("_rows") > total * F.lit(share))).select(key)
 
 

@@ -46,7 +46,8 @@ def labels(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir):
-    return features.encounter_features(typed_tables(spark, sf_dir))
+    tables_in = typed_tables(spark, sf_dir) | {"diagnosis": testdata.coded_diagnosis(spark, sf_dir)}
+    return features.encounter_features(tables_in)
 
 
 def training_rows(spark, sf_dir):
@@ -356,7 +357,8 @@ def readmission_label(spark, sf_dir):
 
 @query
 def prior_admissions(spark, sf_dir):
-    return cohort.prior_admissions(testdata.encounter(spark, sf_dir))
+    counted = cohort.prior_admissions(testdata.encounter(spark, sf_dir))
+    return counted.select("encounter_id", "num_prior_admissions")
 
 
 @query
@@ -458,7 +460,8 @@ def latest_hours(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir, **options):
-    return seq.resolve_sequences(sequence_table(spark, sf_dir), testdata.vital_sign(spark, sf_dir), **options)
+    sequences = materialize(sequence_table(spark, sf_dir), "vital-sequence")  # read twice
+    return seq.resolve_sequences(sequences, testdata.vital_sign(spark, sf_dir), **options)
 
 
 @query

@@ -31,7 +31,7 @@ class Trained:
 
 def prepare_training(training: DataFrame, train_only: bool = False) -> DataFrame:
     """Split by time and fill zeros with the train medians, in all splits or in the train rows only."""
-    split = materialize(chronological_split(training), "training-set")
+    split = chronological_split(materialize(training, "training-set"))
     return fill_from(split, training_medians(split.where(IN_TRAIN)), where=IN_TRAIN if train_only else None)
 
 
