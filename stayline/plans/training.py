@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.operators import metrics
@@ -16,7 +16,10 @@ from stayline.schema import MODEL_FEATURES, SEQUENCE_VITALS
 from stayline.session import materialize
 from stayline.sources.bundles import Bundle
 
-IN_TRAIN = F.col("split") == "train"
+
+def in_train() -> Column:
+    return F.col("split") == "train"
+
 
 
 @dataclass
@@ -32,7 +35,7 @@ class Trained:
 def prepare_training(training: DataFrame, train_only: bool = False) -> DataFrame:
     """Split by time and fill zeros with the train medians, in all splits or in the train rows only."""
     split = chronological_split(materialize(training, "training-set"))
-    return fill_from(split, training_medians(split.where(IN_TRAIN)), where=IN_TRAIN if train_only else None)
+    return fill_from(split, training_medians(split.where(in_train())), where=in_train() if train_only else None)
 
 
 def train_tabular(training: DataFrame, rounds: int = ROUNDS, train_only: bool = False) -> Trained:
@@ -52,7 +55,7 @@ def prepare_sequences(sequences: DataFrame, normalise: bool = False) -> tuple[Da
     if normalise:
         rows = seq.scale(rows, seq.fit_scaler(rows), epsilon=1e-6)
     split = key_split(rows)
-    scaler = materialize(seq.fit_scaler(split.where(IN_TRAIN)), "scaler")
+    scaler = materialize(seq.fit_scaler(split.where(in_train())), "scaler")
     return seq.scale(split, scaler), scaler
 
 
@@ -66,7 +69,7 @@ def train_sequences(sequences: DataFrame, normalise: bool = False) -> Trained:
 
 def _evaluated(bundle: Bundle, scored: DataFrame) -> Trained:
     scored = materialize(scored, "scored")
-    train = metrics.ranking_metrics(scored.where(IN_TRAIN))
+    train = metrics.ranking_metrics(scored.where(in_train()))
     test = metrics.ranking_metrics(scored.where(F.col("split") == "test"))
     row = test.first()
     bundle.test_auc, bundle.test_prauc = row["roc_auc"], row["average_precision"]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 BRIGHT = 120.0  # fixed value: mean brightness above which an image counts as normal
 
@@ -15,7 +16,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), "image")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mean_brightness(channels: pd.Series, data: pd.Series) -> pd.Series:
     """Mean over all pixels of the colour channels; the alpha byte of four-channel pixels is left out."""
 
