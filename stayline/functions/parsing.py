@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stayline.schema import MISSING_MARKERS
 
+_NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI]nf(inity)?)$"
+_KEY = r"^[+-]?\d{1,19}(\.\d*)?$"
+
 
 def missing_to_null(text: Column) -> Column:
     """NULL for the markers that stand for a missing value."""
@@ -18,14 +21,15 @@ def parse_time(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """A finite or infinite double; NaN counts as missing."""
-    number = F.trim(text).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """A finite or infinite double. Text is matched first: a failing cast costs an exception per row."""
+    number = F.trim(text)
+    return F.when(number.rlike(_NUMBER), number.try_cast("double"))
 
 
 def parse_key(text: Column) -> Column:
     """An integer key; ``123.0``, as written for integer columns with gaps, is 123."""
-    return F.coalesce(F.trim(text).try_cast("bigint"), F.trim(text).try_cast("double").try_cast("bigint"))
+    key = F.trim(text)
+    return F.when(key.rlike(_KEY), F.substring_index(key, ".", 1).try_cast("bigint"))
 
 
 def select_present(df: DataFrame, wanted: list[str]) -> DataFrame:

@@ -87,29 +87,31 @@ def load_medications(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame
 
 def with_vital_items(df: DataFrame, itemid: str = "itemid") -> DataFrame:
     """Keep the known vital items and add ``vital_type`` and ``unit``. Stateless, so it also runs on a stream."""
-    types = _dictionary({code: kind for code, (kind, _) in VITAL_ITEMS.items()})
-    units = _dictionary({code: unit for code, (_, unit) in VITAL_ITEMS.items()})
-    known = df.where(F.col(itemid).isin(list(VITAL_ITEMS)))
-    return known.withColumns({"vital_type": types[F.col(itemid)], "unit": units[F.col(itemid)]})
+    code = F.trim(F.col(itemid).cast("string"))
+    types = _dictionary({item: kind for item, (kind, _) in VITAL_ITEMS.items()})
+    units = _dictionary({item: unit for item, (_, unit) in VITAL_ITEMS.items()})
+    known = df.where(code.isin([str(item) for item in VITAL_ITEMS]))
+    return known.withColumns({"vital_type": types[code], "unit": units[code]})
 
 
 def with_lab_items(df: DataFrame, itemid: str = "itemid") -> DataFrame:
     """Keep the known lab items and add ``lab_name``."""
-    known = df.where(F.col(itemid).isin(list(LAB_ITEMS)))
-    return known.withColumn("lab_name", _dictionary(LAB_ITEMS)[F.col(itemid)])
+    code = F.trim(F.col(itemid).cast("string"))
+    known = df.where(code.isin([str(item) for item in LAB_ITEMS]))
+    return known.withColumn("lab_name", _dictionary(LAB_ITEMS)[code])
 
 
 def _dictionary(entries: dict[int, str]) -> Column:
-    """A constant map; a lookup in it needs no join."""
-    return F.create_map(*[F.lit(x) for entry in entries.items() for x in entry])
+    """A constant map from item code, as text; a lookup in it needs no join."""
+    return F.create_map(*[F.lit(str(x)) for entry in entries.items() for x in entry])
 
 
 def load_vitals(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    rows = typed(raw.withColumn("itemid", parse_key(F.col("itemid").cast("string")).try_cast("int")), "vital_sign")
-    known = with_vital_items(rows).dropna(subset=["value", "encounter_id"])
+    """Known items first, on the raw text: the other columns are parsed only for the rows that stay."""
+    known = typed(with_vital_items(raw), "vital_sign").dropna(subset=["value", "encounter_id"])
     return _table_columns(members(known, kept, "encounter_id"), "vital_sign")
 
 
 def load_labs(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    known = with_lab_items(typed(raw, "lab_result")).dropna(subset=["encounter_id"])
+    known = typed(with_lab_items(raw), "lab_result").dropna(subset=["encounter_id"])
     return _table_columns(members(known, kept, "encounter_id"), "lab_result")

@@ -17,13 +17,14 @@ def build_tables(raw: dict[str, DataFrame], cap: int | None = MAX_ENCOUNTERS, se
                  max_vitals: int | None = None) -> dict[str, DataFrame]:
     """The seven tables, restricted to a stratified sample of about ``cap`` encounters (None: all).
 
-    The sample is written out once and then semi-joined with every extract. Its size is known by then, so
+    Admissions are parsed and written out before they are sampled, as sampling reads them more than once. The
+    sample is written out once and then semi-joined with every extract. Its size is known by then, so
     Spark broadcasts it when it is small and the event extracts are filtered without a shuffle. ``max_vitals``
     keeps whole encounters, in key order, until that many readings are reached.
     """
     encounters = loading.load_admissions(raw["admissions"])
     if cap is not None:
-        encounters = stratified_sample(encounters, cap, seed)
+        encounters = stratified_sample(materialize(encounters, "admissions"), cap, seed)
     encounters = materialize(encounters, "cohort")
     vitals = loading.load_vitals(raw["chartevents"], encounters)
     if max_vitals is not None:
