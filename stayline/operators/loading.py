@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.functions.parsing import clean_text, parse_key, parse_number, parse_time, select_present
+from stayline.functions.parsing import PARSERS, select_present
 from stayline.schema import LAB_ITEMS, TABLES, VITAL_ITEMS
 
 # Raw column name -> table column name.
@@ -29,43 +29,32 @@ RENAMES: dict[str, dict[str, str]] = {
     "lab_result": {"subject_id": "patient_id", "hadm_id": "encounter_id", "charttime": "chart_time"},
 }
 
-_PARSERS = {"bigint": parse_key, "int": lambda c: parse_key(c).try_cast("int"), "double": parse_number,
-            "timestamp_ntz": parse_time, "date": lambda c: parse_time(c).cast("date")}
-
-
 def typed(raw: DataFrame, table: str) -> DataFrame:
-    """Rename the raw columns and parse them to the table's types; columns the table lacks are kept."""
-    renamed = clean_text(raw).withColumnsRenamed(RENAMES[table])
-    kinds = {f.name: f.dataType.simpleString() for f in TABLES[table]}
-
-    def parsed(name: str) -> Column:
-        parse = _PARSERS.get(kinds.get(name))
-        return parse(F.col(name).cast("string")).alias(name) if parse else F.col(name)
-
-    return renamed.select([parsed(c) for c in renamed.columns])
+    """The table's columns that the extract has, renamed and parsed to the table's types."""
+    names = {table_name: raw_name for raw_name, table_name in RENAMES[table].items()}
+    return raw.selectExpr(*[
+        f"{PARSERS[field.dataType.simpleString()](names.get(field.name, field.name))} AS {field.name}"
+        for field in TABLES[table] if names.get(field.name, field.name) in raw.columns
+    ])
 
 
 def members(df: DataFrame, kept: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key is in the cohort."""
-    return df if kept is None else df.join(kept.select(key), key, "left_semi")
-
-
-def _table_columns(df: DataFrame, table: str) -> DataFrame:
-    return select_present(df, TABLES[table].names)
+    return df if kept is None else df.join(kept.select(key), key, "left_semi").select(*df.columns)
 
 
 def load_admissions(raw: DataFrame) -> DataFrame:
     """Encounters with both times known."""
-    return _table_columns(typed(raw, "encounter"), "encounter").dropna(subset=["admit_time", "discharge_time"])
+    return typed(raw, "encounter").dropna(subset=["admit_time", "discharge_time"])
 
 
 def load_patients(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    return _table_columns(members(typed(raw, "patient"), kept, "patient_id"), "patient")
+    return members(typed(raw, "patient"), kept, "patient_id")
 
 
 def load_icu_stays(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """``los`` keeps its value under the name ``los_hours``; the source counts it in days."""
-    return _table_columns(members(typed(raw, "icu_stay"), kept, "encounter_id"), "icu_stay")
+    return members(typed(raw, "icu_stay"), kept, "encounter_id")
 
 
 def describe_diagnoses(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -77,12 +66,12 @@ def describe_diagnoses(diagnoses: DataFrame, dictionary: DataFrame) -> DataFrame
 def load_diagnoses(raw: DataFrame, dictionary: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     texts = typed(dictionary.withColumnRenamed("long_title", "description"), "diagnosis")
     rows = members(typed(raw, "diagnosis"), kept, "encounter_id")
-    return _table_columns(describe_diagnoses(rows, texts), "diagnosis")
+    return select_present(describe_diagnoses(rows, texts), TABLES["diagnosis"].names)
 
 
 def load_medications(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     rows = typed(raw, "medication").dropna(subset=["encounter_id"])
-    return _table_columns(members(rows, kept, "encounter_id").fillna("Unknown", ["drug_name"]), "medication")
+    return members(rows, kept, "encounter_id").fillna("Unknown", ["drug_name"])
 
 
 def with_vital_items(df: DataFrame, itemid: str = "itemid") -> DataFrame:
@@ -109,9 +98,9 @@ def _dictionary(entries: dict[int, str]) -> Column:
 def load_vitals(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Known items first, on the raw text: the other columns are parsed only for the rows that stay."""
     known = typed(with_vital_items(raw), "vital_sign").dropna(subset=["value", "encounter_id"])
-    return _table_columns(members(known, kept, "encounter_id"), "vital_sign")
+    return members(known, kept, "encounter_id")
 
 
 def load_labs(raw: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     known = typed(with_lab_items(raw), "lab_result").dropna(subset=["encounter_id"])
-    return _table_columns(members(known, kept, "encounter_id"), "lab_result")
+    return members(known, kept, "encounter_id")

@@ -4,8 +4,6 @@ import gzip
 import os
 
 import pytest
-from pyspark.sql import functions as F
-
 from stayline.functions import parsing
 from stayline.operators import loading
 from stayline.plans import ingest, testdata
@@ -41,11 +39,11 @@ def test_missing_extract(spark, tmp_path):
 
 def test_parsing(frame):
     df = frame([("2180-05-06 22:23:00",), ("n/a",), ("17",), ("17.0",), (" 3.5 ",), ("nan",), ("abc",)], x="string")
-    got = df.select(parsing.parse_time(F.col("x")), parsing.parse_number(F.col("x")), parsing.parse_key(F.col("x"))).collect()
+    got = df.selectExpr(parsing.parse_time("x"), parsing.parse_number("x"), parsing.parse_key("x")).collect()
     assert str(got[0][0]) == "2180-05-06 22:23:00" and got[1][0] is None
     assert [r[1] for r in got] == [None, None, 17.0, 17.0, 3.5, None, None]
     assert [r[2] for r in got[2:4]] == [17, 17] and got[6][2] is None
-    cleaned = [r["x"] for r in parsing.clean_text(df).collect()]
+    cleaned = [r[0] for r in df.selectExpr(parsing.missing_to_null("x")).collect()]
     assert cleaned[1] is None and cleaned[5] is None and cleaned[6] == "abc"
 
 
