@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from stayline.operators.cohort import prior_admissions
 from stayline.operators.ranking import WINDOW_ROWS, running_totals
 from stayline.schema import MODEL_FEATURES
 
+# half-width, as a share of the rows, of the bracket around a median, and the accuracy of the sketch that finds it
+MEDIAN_BAND = 1e-3
+SKETCH_ACCURACY = 10_000
+
 
 def diagnosis_counts(diagnoses: DataFrame) -> DataFrame:
     return diagnoses.groupBy("encounter_id").agg(F.count(F.lit(1)).alias("num_diagnoses"))
@@ -97,27 +103,66 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def exact_medians(df: DataFrame, columns: list[str] = MODEL_FEATURES,
+def exact_medians(df: DataFrame, columns: list[str] = MODEL_FEATURES, band: float = MEDIAN_BAND,
                   window_rows: int = WINDOW_ROWS) -> DataFrame:
     """One row with the exact median of every column, interpolated as usual; NULLs are ignored.
 
-    Values are first counted per column, so that equal values travel once, then the middle positions are
-    read off running totals.
+    Beyond ``window_rows`` rows a quantile sketch first brackets each median. Only values inside the bracket are
+    then shuffled, counted per distinct value, and ranked behind the number of smaller values. Should a bracket
+    miss the middle, which the sketch's error bound rules out, all values are ranked. ``df`` is read a few times,
+    so it should be a table.
     """
     wide = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    brackets = _brackets(wide, columns, band if df.count() > window_rows else None)
+    inside = F.lit(False)
+    for c in columns:
+        inside = inside | ((F.col("feature") == c) & F.col("value").between(brackets[c].low, brackets[c].high))
     counts = (
-        wide.unpivot([], columns, "feature", "value").where(F.col("value").isNotNull())
+        wide.unpivot([], columns, "feature", "value").where(inside)
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = counts.groupBy("feature").agg(F.sum("n").alias("size"))  # one row per column
-    placed = running_totals(counts, "value", ["n"], "feature", window_rows).join(F.broadcast(sizes), "feature")
-    low, high = F.floor((F.col("size") - 1) / 2), F.floor(F.col("size") / 2)
-    holds_low = (F.col("n_before") <= low) & (low < F.col("n_before") + F.col("n"))
-    holds_high = (F.col("n_before") <= high) & (high < F.col("n_before") + F.col("n"))
-    middle = placed.where(holds_low | holds_high).withColumn(
-        "part", (F.when(holds_low, F.col("value")).otherwise(0) + F.when(holds_high, F.col("value")).otherwise(0)) / 2
-    )
-    return middle.agg(*[F.sum(F.when(F.col("feature") == c, F.col("part"))).alias(c) for c in columns])
+    placed = running_totals(counts, "value", ["n"], "feature", window_rows)
+
+    def middle(c: str) -> Column:
+        low, high = (brackets[c].size - 1) // 2 - brackets[c].below, brackets[c].size // 2 - brackets[c].below
+        parts = [
+            F.when((F.col("n_before") <= p) & (p < F.col("n_before") + F.col("n")), F.col("value") / 2)
+            for p in (low, high)
+        ]
+        return (F.sum(F.when(F.col("feature") == c, parts[0])) + F.sum(F.when(F.col("feature") == c, parts[1]))).alias(c)
+
+    return placed.agg(*[middle(c) for c in columns])
+
+
+class Bracket(NamedTuple):
+    """Limits that enclose a column's median, the number of smaller values, and of all values."""
+
+    low: float
+    high: float
+    below: int
+    size: int
+
+
+def _brackets(wide: DataFrame, columns: list[str], band: float | None) -> dict[str, Bracket]:
+    everything = {c: (float("-inf"), float("inf")) for c in columns}
+    limits = everything
+    if band is not None:
+        probabilities = [0.5 - band, 0.5 + band]
+        ends = wide.agg(*[F.percentile_approx(c, probabilities, SKETCH_ACCURACY).alias(c) for c in columns]).first()
+        limits = {c: tuple(ends[c] or everything[c]) for c in columns}
+    counted = wide.agg(*[
+        F.struct(
+            F.count(c).alias("size"),
+            F.count_if(F.col(c) < limits[c][0]).alias("below"),
+            F.count_if(F.col(c) <= limits[c][1]).alias("upto"),
+        ).alias(c) for c in columns
+    ]).first()
+    found = {}
+    for c in columns:
+        size, below, upto = counted[c]
+        holds = below <= (size - 1) // 2 and size // 2 < upto
+        found[c] = Bracket(*limits[c], below, size) if holds else Bracket(*everything[c], 0, size)
+    return found
 
 
 def training_medians(train: DataFrame, columns: list[str] = MODEL_FEATURES) -> DataFrame:

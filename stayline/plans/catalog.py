@@ -399,7 +399,8 @@ def training_set(spark, sf_dir):
 
 @query
 def feature_medians(spark, sf_dir):
-    return rounded(features.exact_medians(training_rows(spark, sf_dir)), *MODEL_FEATURES)
+    rows = materialize(training_rows(spark, sf_dir), "training-set")
+    return rounded(features.exact_medians(rows), *MODEL_FEATURES)
 
 
 @query
@@ -513,6 +514,12 @@ def sequence_key_split(spark, sf_dir):
     return key_split(rows)
 
 
+@query
+def sequence_split_summary(spark, sf_dir):
+    split = key_split(seq.training_sequences(sequence_table(spark, sf_dir)).select("encounter_id", "label"))
+    return rounded(split_summary(split, date=None), "positive_rate")
+
+
 @query
 def sequence_scaler(spark, sf_dir):
     rows = seq.training_sequences(sequence_table(spark, sf_dir))

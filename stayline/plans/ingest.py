@@ -41,8 +41,8 @@ def build_tables(raw: dict[str, DataFrame], cap: int | None = MAX_ENCOUNTERS, se
 
 
 def run_ingest(spark: SparkSession, raw_root: str, table_root: str, cap: int | None = MAX_ENCOUNTERS,
-               seed: int = SEED, max_vitals: int | None = None) -> DataFrame:
-    """Load all extracts below ``raw_root`` into Parquet tables; returns the load summary."""
+               seed: int = SEED, max_vitals: int | None = None, cluster: bool = True) -> DataFrame:
+    """Load all extracts below ``raw_root`` into Parquet tables, clustered by encounter; returns the load summary."""
     tables = build_tables(read_extracts(spark, raw_root), cap, seed, max_vitals)
-    reload_tables(tables, table_root)
+    reload_tables(tables, table_root, cluster)
     return table_counts({name: spark.read.parquet(f"{table_root}/{name}") for name in tables})

@@ -566,6 +566,8 @@ ORACLE: dict[str, str] = {
         SELECT encounter_id, {_FILTER_FLAT} AS flat
         FROM (SELECT encounter_id, {_UNPIVOT} AS x FROM offline_steps) c GROUP BY 1"""),
     "sequence_key_split": _sql("key_split", "SELECT * FROM key_split"),
+    "sequence_split_summary": _sql("key_split", """
+        SELECT split, COUNT(*) AS rows, ROUND(AVG(label), 6) AS positive_rate FROM key_split GROUP BY split"""),
     "sequence_scaler": _sql("train_steps", f"""
         SELECT position, vital, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std FROM ({_SCALER.format(rows='train_steps')}) s"""),
     "normalised_sequences": _sql("train_steps", _scaled("train_steps t", "train_steps", "{s} + 1e-6", "")),

@@ -11,12 +11,17 @@ SCRATCH_CONF = "spark.checkpoint.dir"
 
 
 def get_spark(app: str = "stayline", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; pass ``master`` only for local runs."""
+    """A session in UTC with adaptive execution; pass ``master`` only for local runs.
+
+    Recording the Python line of every column expression, for error messages, is off: it takes most of the
+    time to build a plan with hundreds of expressions.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -4,6 +4,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from stayline.functions import parsing
 from stayline.operators import loading
 from stayline.plans import ingest, testdata
@@ -82,6 +83,16 @@ def test_ingest_is_consistent(spark, tmp_path):
     assert again == summary
 
 
+def test_clustered_files_hold_ranges(spark, tmp_path):
+    labs = testdata.lab_result(spark, SF_DIR)
+    tables.reload_tables({"lab_result": labs}, str(tmp_path), cluster=True)
+    stored = tables.read_table(spark, str(tmp_path), "lab_result")
+    assert stored.exceptAll(labs.select(*stored.columns)).count() == 0 and stored.count() == labs.count()
+    files = stored.groupBy(F.input_file_name()).agg(F.min("encounter_id").alias("lo"), F.max("encounter_id").alias("hi"))
+    spans = sorted((r["lo"], r["hi"]) for r in files.collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_append_of_no_rows(spark, frame, tmp_path):
     df = frame([(1, "M")], patient_id="bigint", gender="string")
     tables.append_table(df, str(tmp_path), "patient")

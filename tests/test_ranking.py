@@ -54,11 +54,12 @@ def test_key_split_sorts_negative_keys_first(frame):
 
 
 @pytest.mark.parametrize("window_rows", [1_000_000, 5])
-def test_medians(frame, window_rows):
+@pytest.mark.parametrize("band", [0.001, 0.3])
+def test_medians(frame, window_rows, band):
     rng = random.Random(4)
     rows = [(rng.choice([None, 0.0, 1.5, rng.random()]), float(rng.randrange(9)), None) for _ in range(75)]
     df = frame(rows, a="double", b="double", c="double")
-    got = features.exact_medians(df, ["a", "b", "c"], window_rows).first()
+    got = features.exact_medians(df, ["a", "b", "c"], band, window_rows).first()
     for i, name in enumerate("ab"):
         assert got[name] == pytest.approx(statistics.median(r[i] for r in rows if r[i] is not None))
     assert got["c"] is None
@@ -69,6 +70,19 @@ def test_median_interpolates(frame):
     assert features.exact_medians(df, ["x"]).first()["x"] == 2.5
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 999, 1000, 30_001])
+def test_medians_of_many_sizes(spark, n):
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("x"))
+    expected = statistics.median(r["x"] for r in df.collect())
+    assert features.exact_medians(df, ["x"], window_rows=900).first()["x"] == expected
+
+
+def test_medians_when_the_bracket_misses(spark):
+    df = spark.range(101).select(F.col("id").cast("double").alias("x"))
+    # a negative band swaps the limits, so nothing lies between them
+    assert features.exact_medians(df, ["x"], band=-0.3, window_rows=20).first()["x"] == 50.0
+
+
 def scored(frame, rows):
     return frame(rows, score="double", label="int")
 
