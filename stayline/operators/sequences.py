@@ -162,14 +162,14 @@ def inference_sequences(resolved: DataFrame, policy: str = "api") -> DataFrame:
     ``api`` fills gaps with the encounter's mean of the vital and calls a sequence flat when its cells hardly
     vary before padding. ``offline`` fills with 0; its flatness is judged after scaling, see ``offline_flat``.
     """
-    gathered = gather(resolved, "step", "source")
     zero = arrays.constant_step(0.0)
     if policy == "offline":
-        return gathered.select("encounter_id", "source", "n_rows", F.lit(None).cast("boolean").alias("flat"),
+        return gather(resolved, "step", "source").select("encounter_id", "source", "n_rows", F.lit(None).cast("boolean").alias("flat"),
                                arrays.pad_front(fill_zero(F.col("steps")), zero).alias("steps"))
     means = F.transform("stats", lambda s: F.coalesce(s["mean"], F.lit(0.0)))
     filled = arrays.map_cells(fill_column_mean(F.col("steps"), means), lambda v, i: finite_or(v))
-    return gathered.join(column_statistics(resolved), "encounter_id").select(
+    resolved = materialize(resolved, "resolved")  # read twice; the means are those of all rows, not of the last 48
+    return gather(resolved, "step", "source").join(column_statistics(resolved), "encounter_id").select(
         "encounter_id", "source", "n_rows",
         (_filled_spread(F.col("rows"), F.col("stats")) < FLAT).alias("flat"),
         arrays.pad_front(filled, zero).alias("steps"),

@@ -189,16 +189,16 @@ def _padded(rows: str, value: str, pad: str, keep: str) -> str:
     names = ", ".join(V6)
     return f"""
         SELECT encounter_id{kept}, n_rows, pos, {names} FROM (
-          SELECT encounter_id{kept}, n_rows, 48 - n_rows + rn - 1 AS pos, {real} FROM {rows}
+          SELECT encounter_id{kept}, n_rows, CAST(48 - n_rows + rn - 1 AS INT) AS pos, {real} FROM {rows}
           UNION ALL
           SELECT e.encounter_id{kept}, e.n_rows, g.pos, {names}
           FROM (SELECT encounter_id{kept}, n_rows, {front} FROM {rows} GROUP BY ALL) e
-          JOIN (SELECT unnest(range(48)) AS pos) g ON g.pos < 48 - e.n_rows) u"""
+          JOIN (SELECT CAST(unnest(range(48)) AS INT) AS pos) g ON g.pos < 48 - e.n_rows) u"""
 
 
 def _numbered(source: str, step: str) -> str:
     means = ", ".join(f"AVG({v}) OVER (PARTITION BY encounter_id) AS m_{v}" for v in V6)
-    return (f"SELECT *, COUNT(*) OVER (PARTITION BY encounter_id) AS n_rows, "
+    return (f"SELECT *, CAST(COUNT(*) OVER (PARTITION BY encounter_id) AS INT) AS n_rows, "
             f"ROW_NUMBER() OVER (PARTITION BY encounter_id ORDER BY {step}) AS rn, {means} FROM {source}")
 
 
@@ -305,7 +305,7 @@ def _sql(parts: str, body: str) -> str:
 
 
 _METRICS = """
-    SELECT SUM(p + n) AS rows, SUM(p) AS positives,
+    SELECT CAST(SUM(p + n) AS BIGINT) AS rows, CAST(SUM(p) AS BIGINT) AS positives,
            ROUND(SUM(p * (below + n / 2.0)) / (SUM(p) * SUM(n)), 6) AS roc_auc,
            ROUND(SUM(CAST(p AS DOUBLE) * tp / pp) / SUM(p), 6) AS average_precision
     FROM (SELECT score, p, n,
@@ -483,10 +483,10 @@ ORACLE: dict[str, str] = {
         FROM lab_result WHERE valuenum IS NOT NULL GROUP BY 1, 2"""),
     "admission_type_counts": _sql("encounter", "SELECT admission_type, COUNT(*) AS n FROM encounter GROUP BY 1"),
     "readmission_check": _sql("label", """
-        SELECT COUNT(*) AS total, SUM(readmitted_30d) AS readmitted, ROUND(AVG(readmitted_30d) * 100, 2) AS rate_pct,
+        SELECT COUNT(*) AS total, CAST(SUM(readmitted_30d) AS BIGINT) AS readmitted, ROUND(AVG(readmitted_30d) * 100, 2) AS rate_pct,
                MIN(admit_date) AS first_date, MAX(admit_date) AS last_date FROM label"""),
     "readmission_by_type": _sql("encounter label", """
-        SELECT admission_type, COUNT(*) AS total, SUM(readmitted_30d) AS readmitted,
+        SELECT admission_type, COUNT(*) AS total, CAST(SUM(readmitted_30d) AS BIGINT) AS readmitted,
                ROUND(AVG(readmitted_30d) * 100, 2) AS rate_pct
         FROM encounter e JOIN label l ON l.encounter_id = e.encounter_id GROUP BY 1"""),
     "prediction_history": _sql("risk_prediction", "SELECT * FROM risk_prediction"),
@@ -496,9 +496,9 @@ ORACLE: dict[str, str] = {
               FROM risk_prediction) t WHERE rn = 1"""),
     "prediction_summary": _sql("risk_prediction", """
         SELECT COUNT(*) AS total_predictions, ROUND(AVG(fusion_score), 6) AS avg_risk_score,
-               SUM(CASE WHEN risk_level = 'HIGH' THEN 1 ELSE 0 END) AS high_risk_count,
-               SUM(CASE WHEN risk_level = 'MEDIUM' THEN 1 ELSE 0 END) AS medium_risk_count,
-               SUM(CASE WHEN risk_level = 'LOW' THEN 1 ELSE 0 END) AS low_risk_count FROM risk_prediction"""),
+               CAST(SUM(CASE WHEN risk_level = 'HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS high_risk_count,
+               CAST(SUM(CASE WHEN risk_level = 'MEDIUM' THEN 1 ELSE 0 END) AS BIGINT) AS medium_risk_count,
+               CAST(SUM(CASE WHEN risk_level = 'LOW' THEN 1 ELSE 0 END) AS BIGINT) AS low_risk_count FROM risk_prediction"""),
     "displayed_scores": _sql("fused", """
         SELECT encounter_id, CAST(FLOOR(xgb_score * 100 + 0.5::DOUBLE) AS INT) AS xgb_pct,
                CAST(FLOOR(lstm_score * 100 + 0.5::DOUBLE) AS INT) AS lstm_pct,
@@ -533,7 +533,7 @@ ORACLE: dict[str, str] = {
         SELECT split, COUNT(*) AS rows, MIN(admit_date) AS first_date, MAX(admit_date) AS last_date,
                ROUND(AVG(label), 6) AS positive_rate FROM placed GROUP BY split"""),
     "class_weight": _sql("training", """
-        SELECT SUM(label) AS pos, SUM(1 - label) AS neg, ROUND(SUM(1 - label) / CAST(SUM(label) AS DOUBLE), 6)
+        SELECT CAST(SUM(label) AS BIGINT) AS pos, CAST(SUM(1 - label) AS BIGINT) AS neg, ROUND(SUM(1 - label) / CAST(SUM(label) AS DOUBLE), 6)
                AS scale_pos_weight FROM training"""),
     "training_matrix": _sql("fills", _matrix("TRUE")),
     "training_matrix_train_only": _sql("fills", _matrix("p.split = 'train'")),
@@ -553,7 +553,7 @@ ORACLE: dict[str, str] = {
         ("resolved_sequences", "resolved"), ("resolved_sequences_offline", "resolved_offline"),
         ("resolved_sequences_newest_first", "resolved_newest"))},
     "gathered_sequences": _sql(
-        "numbered", f"SELECT encounter_id, n_rows, rn - 1 AS pos, {_rounded(V6)} FROM numbered"),
+        "numbered", f"SELECT encounter_id, n_rows, CAST(rn - 1 AS INT) AS pos, {_rounded(V6)} FROM numbered"),
     "training_sequences": _sql("train_steps", f"SELECT encounter_id, label, n_rows, {_STEP} FROM train_steps"),
     "inference_sequences": _sql("inference_steps", f"""
         SELECT i.encounter_id, source, n_rows, flat, {_STEP} FROM inference_steps i
