@@ -214,9 +214,7 @@ def loaded_labs(spark, sf_dir):
 @query
 def sampled_labs(spark, sf_dir):
     """Labs of the sampled encounters only."""
-    kept = materialize(cohort.stratified_sample(
-        loading.load_admissions(testdata.raw_admissions(spark, sf_dir)), SAMPLE_CAP), "cohort")
-    return loading.load_labs(testdata.raw_labevents(spark, sf_dir), kept)
+    return ingest.build_tables(raw_extracts(spark, sf_dir), SAMPLE_CAP)["lab_result"]
 
 
 @query

@@ -1,4 +1,4 @@
-"""Model bundles: a fitted pipeline with a row of metadata next to it."""
+"""Model bundles: a fitted model with a row of metadata next to it."""
 
 from __future__ import annotations
 
