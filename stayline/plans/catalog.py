@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.functions import arrays, parsing, scores
+from stayline.functions import parsing, scores
 from stayline.operators import (
     cohort, features, fusion, loading, metrics, modelling, quality, reports, scoring,
 )
