@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import binary_ids, mixing, token_counts
+from stayline.llm import binary_ids, line_dedup, mixing, token_counts
 from stayline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,36 @@ def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op5_token_counts, op9_binary_ids)
+    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op9_binary_ids)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH line AS (
+            SELECT doc_id, n, lines[n] AS line, CAST(len(lines) AS BIGINT) AS n_lines
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+                 LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS n)
+        ),
+        run AS (
+            SELECT doc_id, n, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+            FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY n)
+        ),
+        later AS (
+            SELECT doc_id, n FROM (
+                SELECT doc_id, n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) AS k
+                FROM run WHERE c IS NOT NULL
+            ) WHERE k > 1
+        ),
+        gone AS (SELECT DISTINCT doc_id, n + d AS n FROM later, (VALUES (0), (1), (2)) AS shift(d)),
+        kept AS (
+            SELECT line.doc_id, line.n, line.line FROM line ANTI JOIN gone
+            ON line.doc_id = gone.doc_id AND line.n = gone.n
+        ),
+        joined AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY n) AS text FROM kept GROUP BY doc_id),
+        total AS (SELECT doc_id, count(*) AS n_lines FROM line GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_lines, 0) - coalesce(j.n, 0) AS n_deleted,
+               CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text
+        FROM documents d LEFT JOIN total t ON d.doc_id = t.doc_id LEFT JOIN joined j ON d.doc_id = j.doc_id
+    """,
+}
