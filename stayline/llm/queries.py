@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import binary_ids, line_dedup, mixing, token_counts
+from stayline.llm import binary_ids, line_dedup, mixing, simhash, token_counts
 from stayline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +24,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.token_id_table(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op9_binary_ids)
+    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op8_simhash, op9_binary_ids)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
