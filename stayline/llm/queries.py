@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayline.llm import binary_ids, line_dedup, mixing, simhash, token_counts
+from stayline.llm import (
+    binary_ids, cross_parse, decontamination, line_dedup, mixing, simhash, token_counts,
+)
 from stayline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +26,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parse.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,9 +38,14 @@ def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.token_id_table(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op8_simhash, op9_binary_ids)
+    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op6_language_id, op8_simhash,
+                op9_binary_ids, op10_decontamination)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
