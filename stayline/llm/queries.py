@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
-    binary_ids, cross_parse, decontamination, line_dedup, mixing, simhash, token_counts,
+    binary_ids, cross_parse, decontamination, line_dedup, mixing, one_bit_search, simhash, token_counts,
 )
 from stayline.llm.common import table
 
@@ -30,6 +30,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,12 +48,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op6_language_id, op8_simhash,
-                op9_binary_ids, op10_decontamination)
+    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op6_language_id, op7_nearest,
+                op8_simhash, op9_binary_ids, op10_decontamination)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
 ORACLE: dict[str, str] = {
+    "op7_nearest": """
+        WITH sound AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+            FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+        ),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
     "op4_line_dedup": """
         WITH line AS (
             SELECT doc_id, n, lines[n] AS line, CAST(len(lines) AS BIGINT) AS n_lines
