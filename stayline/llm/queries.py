@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
-    binary_ids, cross_parse, decontamination, line_dedup, mixing, one_bit_search, simhash, token_counts,
+    binary_ids, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash,
+    token_counts,
 )
 from stayline.llm.common import table
 
@@ -18,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op4_line_dedup, op5_token_counts, op6_language_id, op7_nearest,
+    for run in (op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id, op7_nearest,
                 op8_simhash, op9_binary_ids, op10_decontamination)
 }
 
