@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
-    binary_ids, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash,
+    binary_ids, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash, template,
     token_counts,
 )
 from stayline.llm.common import table
@@ -15,6 +15,10 @@ from stayline.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,8 +57,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     run.__name__: run
-    for run in (op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id, op7_nearest,
-                op8_simhash, op9_binary_ids, op10_decontamination)
+    for run in (op1_main_text, op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id,
+                op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
