@@ -36,11 +36,11 @@ FEW_PAGES = 3
 HIDDEN = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "canvas",
           "textarea", "select", "option", "button", "audio", "video", "map"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "figure"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
 BLOCKS = {"p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt",
           "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "pre", "blockquote", "body", "html",
-          "address", "fieldset", "legend", "hr", "center", "details", "summary", "figcaption", "hgroup", "search",
+          "address", "figure", "fieldset", "legend", "hr", "center", "details", "summary", "figcaption", "hgroup", "search",
           *ASIDE, *HIDDEN}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Text blocks: what repeats inside them is text, not template.
@@ -58,6 +58,7 @@ NOT_MAIN = re.compile(
     r"comments?|replies|respond|disqus|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|"
     r"complementary|contentinfo|banner|dialog|alert|hidden)(?:$|[\s_-])", re.IGNORECASE)
 
+_HEADER = re.compile(r"\bheader\b", re.IGNORECASE)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<|[^<]+", re.DOTALL)
@@ -134,7 +135,11 @@ class Page:
         marks = " ".join(v for k, v in found.items() if k in ("class", "id", "role"))
         hidden = ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
                   or "display:none" in found.get("style", "").replace(" ", "").lower())
-        off = name in HIDDEN or name in ASIDE or hidden or bool(
+        if any(e in MAIN for e, *_ in self._stack):  # an article's own header holds its title
+            marks, name_off = _HEADER.sub("", marks), name in ASIDE and name != "header"
+        else:
+            name_off = name in ASIDE
+        off = name in HIDDEN or name_off or hidden or bool(
             name not in ("html", "body") and name not in MAIN and NOT_MAIN.search(marks))
         inner = off or bool(self._stack and self._stack[-1][2])
         label = name  # with marks, but for numbers, which often tell pages apart
