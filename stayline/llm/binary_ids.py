@@ -109,39 +109,52 @@ class TextEncoder:
 
     A chunk is a space and the run up to the next space. The vocabulary's pattern takes a single space together
     with what follows, so chunks are tokenized alone with the same ids, unless white space meets white space; a
-    text with such a place goes to the library whole.
+    text with such a place goes to the library whole. New chunks of a text go to the library as one text, which
+    is cut where a token begins with a space.
     """
 
     def __init__(self, path: str, dtype: str, cached: int = CACHED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
         self.inner: dict[str, bytes] = {}
         self.cached = cached
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def __call__(self, text: str) -> bytes:
         first, *chunks = text.split(" ")
         if not chunks or not first or first[-1].isspace():
-            return self._encode([text])[0]
+            return self._encode(text).tobytes()
         try:
             return self.first(first) + b"".join(map(self.inner.__getitem__, chunks))
         except KeyError:
             pass
-        missing = {c for c in chunks if c not in self.inner}
+        missing = [c for c in dict.fromkeys(chunks) if c not in self.inner]
         if len(self.inner) + len(missing) > self.cached:
             self.inner.clear()
-            missing = set(chunks)
+            missing = list(dict.fromkeys(chunks))
         if any(not c or c[0].isspace() or c[-1].isspace() for c in missing):
-            return self._encode([text])[0]
-        self.inner.update(zip(missing, self._encode([" " + c for c in missing]), strict=True))
+            return self._encode(text).tobytes()
+        self._learn(missing)
         return self.first(first) + b"".join(map(self.inner.__getitem__, chunks))
 
+    def _learn(self, chunks: list[str]) -> None:
+        ids = self._encode(" " + " ".join(chunks))
+        cuts = np.flatnonzero(self.spaced[ids])
+        if len(cuts) != len(chunks):  # a chunk holds a token with a space of its own
+            for c in chunks:
+                self.inner[c] = self._encode(" " + c).tobytes()
+            return
+        raw, edges = ids.tobytes(), [*(cuts * self.dtype.itemsize).tolist(), len(ids) * self.dtype.itemsize]
+        self.inner.update(zip(chunks, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
+
     def first(self, chunk: str) -> bytes:
-        return self._encode([chunk])[0]
+        return self._encode(chunk).tobytes()
 
 
 def shard_limits(docs: DataFrame, docs_each: int) -> list[int]:
