@@ -5,44 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.operators import skew
-from stayline.operators.ranking import at_most, nth_keys
+from stayline.operators.ranking import RANGE_ROWS, in_ranges, running_totals
 from stayline.session import materialize
 from stayline.schema import READMISSION_WINDOW_DAYS
 
-MAX_ENCOUNTERS = 30_000
 SEED = 42
 UNKNOWN_PATIENT = -(2**63)
 
 
-def readmission_label(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
-                      share: float = skew.HOT_SHARE) -> DataFrame:
+def patient_timeline(stays: DataFrame, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """``stays`` in order of patient, admit time (NULL last) and encounter id, cut into ranges (``_range``).
+
+    ``_who`` is the patient, unknown ones being one key. Ranges hold about ``rows_each`` rows whatever the
+    patient: one with many stays, many in the same hour or without a time is cut by encounter id.
+    """
+    keyed = stays.withColumns({
+        "_who": F.coalesce("patient_id", F.lit(UNKNOWN_PATIENT)), "_late": F.col("admit_time").isNull()})
+    return in_ranges(keyed, ["_who", "_late", "admit_time", "encounter_id"], rows_each)
+
+
+def readmission_label(encounters: DataFrame, rows_each: int = RANGE_ROWS) -> DataFrame:
     """One row per discharged encounter with the 30-day readmission flag.
 
     The next admission is the patient's next discharged encounter by (admit time, encounter id), NULL times
     last. Flag 1 when it starts at most 30 days after this discharge, also when the stays overlap; 0 when it
     starts later or there is none.
     """
-    stays = encounters.where(F.col("discharge_time").isNotNull()).select(
-        "encounter_id", "patient_id", "admit_time", "discharge_time"
-    )
-    sliced = skew.slice_hot(stays, "patient_id", skew.hour_slice(F.col("admit_time")), min_rows, share)
-    # a plain key for unknown patients too, so that window and join need the same partitioning
-    sliced = sliced.withColumn("_who", F.coalesce("patient_id", F.lit(UNKNOWN_PATIENT)))
-    in_order = Window.partitionBy("_who", "_slice").orderBy(F.col("admit_time").asc_nulls_last(), "encounter_id")
-    linked = sliced.select(
+    stays = patient_timeline(encounters.where(F.col("discharge_time").isNotNull()).select(
+        "encounter_id", "patient_id", "admit_time", "discharge_time"), rows_each)
+    in_order = Window.partitionBy("_who", "_range").orderBy("_late", "admit_time", "encounter_id")
+    linked = stays.select(
         "*",
         F.lead("admit_time").over(in_order).alias("_next"),
         F.lead(F.lit(True), 1, False).over(in_order).alias("_has_next"),
     )
-    # hot patients only: the last row of a slice continues with the first row of the patient's next slice
-    by_slice = Window.partitionBy("_who").orderBy("_slice")
+    # a patient's last row of a range continues with their first row of the next one
+    by_range = Window.partitionBy("_who").orderBy("_range")
     carried = (
-        sliced.where(F.col("_slice").isNotNull())
-        .groupBy("_who", "_slice").agg(F.min("admit_time").alias("_first"))
-        .select("_who", "_slice", F.lead("_first").over(by_slice).alias("_carried"))
+        stays.groupBy("_who", "_range").agg(F.min("admit_time").alias("_first"))
+        .select("_who", "_range", F.lead("_first").over(by_range).alias("_carried"))
     )
-    joined = linked.join(carried, ["_who", "_slice"], "left")
+    joined = linked.join(carried, ["_who", "_range"])
     next_admit = F.when(F.col("_has_next"), F.col("_next")).otherwise(F.col("_carried"))
     window = F.make_dt_interval(days=F.lit(READMISSION_WINDOW_DAYS))
     return joined.select(
@@ -55,31 +58,17 @@ def readmission_label(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
     )
 
 
-def prior_admissions(encounters: DataFrame, min_rows: int = skew.HOT_ROWS,
-                     share: float = skew.HOT_SHARE) -> DataFrame:
+def prior_admissions(encounters: DataFrame, rows_each: int = RANGE_ROWS) -> DataFrame:
     """Add ``num_prior_admissions``: the patient's strictly earlier admissions.
 
-    Counts all encounters, discharged or not. No patient or no admit time gives 0.
+    Counts all encounters, discharged or not. No patient or no admit time gives 0. Equal times of a patient travel
+    as one row with a count.
     """
-    known = F.col("patient_id").isNotNull() & F.col("admit_time").isNotNull()
-    sliced = skew.slice_hot(
-        encounters.where(known), "patient_id", skew.hour_slice(F.col("admit_time")), min_rows, share
-    )
-    in_order = Window.partitionBy("patient_id", "_slice").orderBy("admit_time")
-    ranked = sliced.withColumn("_earlier", F.rank().over(in_order).cast("bigint") - 1)
-    # hot patients only: the rows of a patient's earlier slices
-    slices_before = Window.partitionBy("patient_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        sliced.where(F.col("_slice").isNotNull())
-        .groupBy("patient_id", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-        .select("patient_id", "_slice", F.sum("_rows").over(slices_before).alias("_carried"))
-    )
-    counted = ranked.join(carried, ["patient_id", "_slice"], "left").select(
-        *encounters.columns,
-        (F.col("_earlier") + F.coalesce("_carried", F.lit(0))).alias("num_prior_admissions"),
-    )
-    rest = encounters.where(~known).withColumn("num_prior_admissions", F.lit(0).cast("bigint"))
-    return counted.unionByName(rest)
+    times = encounters.where(F.col("patient_id").isNotNull() & F.col("admit_time").isNotNull()).groupBy(
+        "patient_id", "admit_time").agg(F.count(F.lit(1)).alias("n"))
+    before = running_totals(times, "admit_time", ["n"], "patient_id", rows_each)
+    return encounters.join(before.drop("n"), ["patient_id", "admit_time"], "left").select(
+        *encounters.columns, F.coalesce("n_before", F.lit(0)).cast("bigint").alias("num_prior_admissions"))
 
 
 def draw_order(key: Column, seed: int = SEED) -> Column:
@@ -87,7 +76,7 @@ def draw_order(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def stratified_sample(encounters: DataFrame, cap: int = MAX_ENCOUNTERS, seed: int = SEED,
+def stratified_sample(encounters: DataFrame, cap: int, seed: int = SEED,
                       stratum: str = "admission_type", key: str = "encounter_id") -> DataFrame:
     """About ``cap`` rows, drawn from every stratum in proportion to its size.
 
@@ -123,14 +112,12 @@ def stratified_sample(encounters: DataFrame, cap: int = MAX_ENCOUNTERS, seed: in
         .where((F.col("_end") - F.col("n") < F.col("take")) & (F.col("_end") >= F.col("take")))
         .select(stratum, F.col("_prefix").alias("_cut"), (F.col("take") - F.col("_end") + F.col("n")).alias("_left"))
     )
-    in_prefix = Window.partitionBy(stratum, "_prefix").orderBy("_draw", key)
-    return (
-        drawn.join(materialize(cuts, "strata"), stratum)
-        .where(F.col("_prefix") <= F.col("_cut"))
-        .withColumn("_rank", F.row_number().over(in_prefix))
-        .where((F.col("_prefix") < F.col("_cut")) | (F.col("_rank") <= F.col("_left")))
-        .select(*encounters.columns)
-    )
+    in_prefix = Window.partitionBy(stratum).orderBy("_draw", key)
+    joined = drawn.join(materialize(cuts, "strata"), stratum)
+    whole = joined.where(F.col("_prefix") < F.col("_cut"))
+    ended = joined.where(F.col("_prefix") == F.col("_cut")).withColumn("_rank", F.row_number().over(in_prefix))
+    return whole.select(*encounters.columns).unionByName(
+        ended.where(F.col("_rank") <= F.col("_left")).select(*encounters.columns))
 
 
 def random_encounters(encounters: DataFrame, limit: int = 30, seed: int = SEED) -> DataFrame:
@@ -142,11 +129,15 @@ def random_encounters(encounters: DataFrame, limit: int = 30, seed: int = SEED)
     )
 
 
-def cap_rows(df: DataFrame, n: int, order: list[str], levels: list[Column]) -> DataFrame:
-    """The first ``n`` rows in ``order``, together with rows that tie with the last of them.
+def cap_rows(df: DataFrame, n: int, key: str, rows_each: int = RANGE_ROWS) -> DataFrame:
+    """The rows of the first keys that hold ``n`` rows together, in ascending order of ``key``.
 
-    Like a loader that checks its row cap after each chunk, the result may overshoot ``n``. The cut is found
-    by counting, so no task has to hold ``n`` rows.
+    Like a loader that checks its row cap after each chunk, the result keeps whole keys and may overshoot ``n``.
+    ``df`` is read once for the rows per key and once for the result. Rows without a key come last.
     """
-    cut = nth_keys(df, order, levels, [n - 1])[n - 1]
-    return df if cut is None else df.where(at_most(order, cut))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counts.where(F.col(key).isNotNull()), key, ["n"], rows_each=rows_each)
+    cut = placed.where(F.col("n_before") < n).agg(
+        F.max(key).alias("key"), F.max(F.col("n_before") + F.col("n")).alias("rows")).first()
+    within = F.lit(False) if cut["key"] is None else F.col(key) <= cut["key"]
+    return df.where(F.coalesce(within, F.lit((cut["rows"] or 0) < n)))

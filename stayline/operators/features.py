@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from stayline.functions.scores import zero_to_missing
 from stayline.functions.temporal import age_at, male_flag, stay_days
-from stayline.operators import skew
 from stayline.operators.cohort import prior_admissions
-from stayline.operators.ranking import WINDOW_ROWS, running_totals
+from stayline.operators.ranking import RANGE_ROWS, running_totals
 from stayline.schema import MODEL_FEATURES
 
 # half-width, as a share of the rows, of the bracket around a median, and the accuracy of the sketch that finds it
@@ -55,15 +54,14 @@ def lab_features(labs: DataFrame) -> DataFrame:
     )
 
 
-def encounter_features(tables: dict[str, DataFrame], min_rows: int = skew.HOT_ROWS,
-                       share: float = skew.HOT_SHARE) -> DataFrame:
+def encounter_features(tables: dict[str, DataFrame]) -> DataFrame:
     """The feature table: one row per encounter with a patient, an admit and a discharge time.
 
     Every event table is reduced to one row per encounter before it is joined, on the key it was reduced by,
     so that the joins add no shuffle to that of the reductions. What an encounter has no events for is 0.
     """
     columns = ["encounter_id", "patient_id", "admit_time", "discharge_time"]
-    stays = prior_admissions(tables["encounter"].select(*columns), min_rows, share)
+    stays = prior_admissions(tables["encounter"].select(*columns))
     joined = stays.where(F.col("admit_time").isNotNull() & F.col("discharge_time").isNotNull()).join(
         tables["patient"].select("patient_id", "gender", "anchor_age", "anchor_year"), "patient_id"
     )
@@ -104,16 +102,17 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, columns: list[str] = MODEL_FEATURES, band: float = MEDIAN_BAND,
-                  window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """One row with the exact median of every column, interpolated as usual; NULLs are ignored.
+                  rows_each: int = RANGE_ROWS) -> DataFrame:
+    """One row with the exact median of every column, interpolated as usual; NULL and NaN are ignored.
 
-    Beyond ``window_rows`` rows a quantile sketch first brackets each median. Only values inside the bracket are
+    A quantile sketch first brackets each median. Only values inside the bracket are
     then shuffled, counted per distinct value, and ranked behind the number of smaller values. Should a bracket
     miss the middle, which the sketch's error bound rules out, all values are ranked. ``df`` is read a few times,
     so it should be a table.
     """
-    wide = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    brackets = _brackets(wide, columns, band if df.count() > window_rows else None)
+    value = {c: F.col(c).cast("double") for c in columns}
+    wide = df.select([F.when(~F.isnan(value[c]), value[c]).alias(c) for c in columns])
+    brackets = _brackets(wide, columns, band)
     inside = F.lit(False)
     for c in columns:
         inside = inside | ((F.col("feature") == c) & F.col("value").between(brackets[c].low, brackets[c].high))
@@ -121,7 +120,7 @@ def exact_medians(df: DataFrame, columns: list[str] = MODEL_FEATURES, band: floa
         wide.unpivot([], columns, "feature", "value").where(inside)
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = running_totals(counts, "value", ["n"], "feature", window_rows)
+    placed = running_totals(counts, "value", ["n"], "feature", rows_each)
 
     def middle(c: str) -> Column:
         low, high = (brackets[c].size - 1) // 2 - brackets[c].below, brackets[c].size // 2 - brackets[c].below
@@ -143,13 +142,11 @@ class Bracket(NamedTuple):
     size: int
 
 
-def _brackets(wide: DataFrame, columns: list[str], band: float | None) -> dict[str, Bracket]:
+def _brackets(wide: DataFrame, columns: list[str], band: float) -> dict[str, Bracket]:
     everything = {c: (float("-inf"), float("inf")) for c in columns}
-    limits = everything
-    if band is not None:
-        probabilities = [0.5 - band, 0.5 + band]
-        ends = wide.agg(*[F.percentile_approx(c, probabilities, SKETCH_ACCURACY).alias(c) for c in columns]).first()
-        limits = {c: tuple(ends[c] or everything[c]) for c in columns}
+    probabilities = [0.5 - band, 0.5 + band]
+    ends = wide.agg(*[F.percentile_approx(c, probabilities, SKETCH_ACCURACY).alias(c) for c in columns]).first()
+    limits = {c: tuple(ends[c] or everything[c]) for c in columns}
     counted = wide.agg(*[
         F.struct(
             F.count(c).alias("size"),

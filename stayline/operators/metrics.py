@@ -9,27 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.ranking import WINDOW_ROWS, running_totals
+from stayline.operators.ranking import RANGE_ROWS, running_totals
 
 THRESHOLD = 0.5
 OVERFIT_GAP = 0.05
 
 
+def rankable(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Rows with a score that is a number and a label; all metrics leave the others out, see ``unranked_rows``."""
+    return scored.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+
+
+def unranked_rows(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row: how many rows the metrics leave out, by reason; a row without label counts as such only."""
+    has_label, value = F.col(label).isNotNull(), F.col(score).cast("double")
+    return scored.agg(
+        F.count_if(~has_label).alias("no_label"),
+        F.count_if(has_label & value.isNull()).alias("no_score"),
+        F.count_if(has_label & F.coalesce(F.isnan(value), F.lit(False))).alias("not_a_number"),
+    )
+
+
 def score_counts(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(score, pos, neg): labelled rows per distinct score."""
-    return scored.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
+    """(score, pos, neg): rankable rows per distinct score."""
+    # adding 0 makes -0.0 and 0.0 one score
+    return rankable(scored, score, label).groupBy((F.col(score).cast("double") + 0.0).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"),
     )
 
 
 def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "label",
-                    window_rows: int = WINDOW_ROWS) -> DataFrame:
+                    rows_each: int = RANGE_ROWS) -> DataFrame:
     """One row: rows, positives, ROC-AUC (ties count one half) and average precision (stepwise sum).
 
     Both metrics are NULL when a class is missing, except average precision, which is 0 without positives.
     """
-    counts = running_totals(score_counts(scored, score, label), "score", ["pos", "neg"], window_rows=window_rows)
+    counts = running_totals(score_counts(scored, score, label), "score", ["pos", "neg"], rows_each=rows_each)
     sums = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # rows scored at least as high as this score
@@ -53,9 +68,9 @@ def ranking_metrics(scored: DataFrame, score: str = "score", label: str = "label
 
 
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label",
-               window_rows: int = WINDOW_ROWS) -> DataFrame:
+               rows_each: int = RANGE_ROWS) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, and the start (infinity, 0, 0)."""
-    counts = running_totals(score_counts(scored, score, label), "score", ["pos", "neg"], window_rows=window_rows)
+    counts = running_totals(score_counts(scored, score, label), "score", ["pos", "neg"], rows_each=rows_each)
     sums = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     points = counts.select(
         F.col("score").alias("threshold"),
@@ -75,7 +90,7 @@ def predicted(score: Column, threshold: float = THRESHOLD) -> Column:
 def _cells(scored: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     """One row with the four cells tn, fp, fn, tp."""
     actual, called = F.col(label) == 1, predicted(F.col(score), threshold) == 1
-    return scored.agg(
+    return rankable(scored, score, label).agg(
         F.count_if(~actual & ~called).alias("tn"),
         F.count_if(~actual & called).alias("fp"),
         F.count_if(actual & ~called).alias("fn"),

@@ -5,49 +5,40 @@ from __future__ import annotations
 from datetime import datetime
 from math import ceil
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.session import materialize
 
-WINDOW_ROWS = 1_000_000
-SORT_ROWS = 100_000
+RANGE_ROWS = 500_000
+
+
+def in_ranges(df: DataFrame, order: list[str], rows_each: int = RANGE_ROWS) -> DataFrame:
+    """``df`` cut by ``order`` into ranges of about ``rows_each`` rows, numbered in order by ``_range``.
+
+    Written out, so the numbers stay. A range holds neighbours in the order, so what is sorted within a range
+    only needs a small carry from the ranges before it, and no key is too frequent as long as ``order`` tells
+    its rows apart.
+    """
+    rows = materialize(df, "values")  # sampled for the limits, then dealt out
+    n = max(1, ceil(rows.count() / rows_each))
+    return materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(df: DataFrame, value: str, amounts: list[str], group: str | None = None,
-                   window_rows: int = WINDOW_ROWS) -> DataFrame:
+                   rows_each: int = RANGE_ROWS) -> DataFrame:
     """Add ``<amount>_before``: the total of ``amount`` over the smaller values (of the same group).
 
-    ``df`` must hold each value (of a group) once, so callers first aggregate to distinct values. Up to
-    ``window_rows`` rows one window does it. Beyond that the values are cut at approximate quantiles into
-    buckets of about that size; since values are distinct, no bucket can be much larger. Each bucket gets its
-    own window and the totals of the buckets before it are added. Bucket limits come to the driver as numbers,
-    so every branch of the plan sees the same ones.
+    ``df`` must hold each value (of a group) once, so callers first aggregate to distinct values. Totals are taken
+    within ranges of values, and the totals of the ranges before are added.
     """
     keys = [group] if group else []
-    df = materialize(df, "values")  # the input is computed once, however often its values are read
-    rows = df.count()
-    if rows <= window_rows:
-        return _totals_before(df, value, amounts, Window.partitionBy(*keys), "_before")
-
-    limits = sorted(set(df.approxQuantile(value, _probabilities(rows, window_rows), 1e-4)))
-    splits = [float("-inf"), *limits, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_value", outputCol="_bucket").transform(
-        df.withColumn("_value", F.col(value).cast("double"))
-    ).drop("_value")
-    buckets = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(a).alias(a) for a in amounts])
-    offsets = _totals_before(buckets, "_bucket", amounts, Window.partitionBy(*keys), "_offset").drop(*amounts)
-    inside = _totals_before(bucketed, value, amounts, Window.partitionBy(*keys, "_bucket"), "_before")
-    joined = inside.join(offsets, [*keys, "_bucket"])
-    for a in amounts:
-        joined = joined.withColumn(f"{a}_before", F.col(f"{a}_before") + F.col(f"{a}_offset"))
-    return joined.select(*df.columns, *[f"{a}_before" for a in amounts])
-
-
-def _probabilities(rows: int, window_rows: int) -> list[float]:
-    n = ceil(rows / window_rows)
-    return [i / n for i in range(1, n)]
+    placed = in_ranges(df, [*keys, value], rows_each)
+    sums = placed.groupBy(*keys, "_range").agg(*[F.sum(a).alias(a) for a in amounts])
+    offsets = _totals_before(sums, "_range", amounts, Window.partitionBy(*keys), "_offset").drop(*amounts)
+    inside = _totals_before(placed, value, amounts, Window.partitionBy(*keys, "_range"), "_before")
+    joined = inside.join(offsets, [*keys, "_range"])
+    return joined.select(*df.columns, *[(F.col(f"{a}_before") + F.col(f"{a}_offset")).alias(f"{a}_before") for a in amounts])
 
 
 def _totals_before(df: DataFrame, value: str, amounts: list[str], window, suffix: str) -> DataFrame:
@@ -67,41 +58,43 @@ def key_levels(key: str) -> list[Column]:
     return [F.shiftright(F.col(key), bits) for bits in (48, 32, 16, 0)]
 
 
-def nth_keys(df: DataFrame, order: list[str], levels: list[Column], positions: list[int],
-             sort_rows: int = SORT_ROWS) -> dict[int, tuple | None]:
-    """The rows' keys at the given 0-based positions in ascending order of ``order``.
+def nth_keys(df: DataFrame, order: list[str], levels: list[Column], positions: list[int]) -> dict[int, tuple | None]:
+    """The rows' keys at the given 0-based positions in ascending order of ``order``, NULLs last.
 
-    Works by elimination: count rows per value of the first level, keep the value that holds the position,
-    go on inside it with the next level, and sort what is left once that is at most ``sort_rows`` rows. The
-    levels must order rows as ``order`` does, coarse to fine, down to the whole key; each then has few distinct values within one
-    value of the level before. Only counts are shuffled, and the driver sees one row per step.
+    Works by elimination: count rows per value of the first level, keep the value that holds the position, and go
+    on inside it with the next level. The levels must order rows as ``order`` does, coarse to fine, down to the
+    whole key; each then has few distinct values within one value of the level before. Only counts are shuffled,
+    all positions share one job per level, and the driver sees one row per position.
     """
     total = df.count()
     found: dict[int, tuple | None] = {p: None for p in positions if not 0 <= p < total}
-    # the scope is a row filter; the offset is the number of rows sorted before the scope
-    _search(df, order, levels, sorted(set(positions) - set(found)), 0, total, sort_rows, found)
+    names = [f"_level{i}" for i in range(len(levels))]
+    leveled = df.select(*order, *[level.alias(name) for name, level in zip(names, levels)])
+    # the place of a position: values of the levels so far, and the rows sorted before them
+    places = {p: ((), 0) for p in sorted(set(positions) - set(found))}
+    for i in range(len(levels)):
+        if not places:
+            return found
+        scope = leveled.where(_any([_matches(names, values) for values, _ in places.values()]))
+        counts = scope.groupBy(*names[:i + 1]).agg(F.count(F.lit(1)).alias("n"))
+        ends = F.sum("n").over(Window.partitionBy(*names[:i]).orderBy(F.col(names[i]).asc_nulls_last()))
+        spans = counts.withColumn("end", ends)
+        holds = {p: _matches(names, values) & (F.col("end") + before > p) & (F.col("end") - F.col("n") + before <= p)
+                 for p, (values, before) in places.items()}
+        rows = spans.where(_any(list(holds.values()))).collect()
+        for p, (values, before) in places.items():
+            row = next(r for r in rows if tuple(r[:i]) == values and before + r["end"] - r["n"] <= p < before + r["end"])
+            places[p] = tuple(row[:i + 1]), before + row["end"] - row["n"]
+    for p, (values, _) in places.items():
+        found[p] = tuple(leveled.where(_matches(names, values)).select(*order).first())
     return found
 
 
-def _search(scope: DataFrame, order, levels, positions, offset, size, sort_rows, found) -> None:
-    if not positions:
-        return
-    if not levels:  # all rows left have the same key
-        found.update(dict.fromkeys(positions, tuple(scope.select(*order).first())))
-        return
-    if size <= sort_rows:
-        for p in positions:
-            row = scope.select(*order).orderBy(*order).offset(p - offset).limit(1).first()
-            found[p] = tuple(row)
-        return
-    counts = scope.groupBy(levels[0].alias("_level")).agg(F.count(F.lit(1)).alias("n"))
-    ends = F.sum("n").over(Window.orderBy("_level"))
-    spans = counts.select("_level", "n", (ends + F.lit(offset)).alias("end"))
-    holds = [(F.col("end") > p) & (F.col("end") - F.col("n") <= p) for p in positions]
-    for span in spans.where(_any(holds)).collect():
-        inside = [p for p in positions if span["end"] - span["n"] <= p < span["end"]]
-        _search(scope.where(levels[0] == _literal(span["_level"])), order, levels[1:], inside,
-                span["end"] - span["n"], span["n"], sort_rows, found)
+def _matches(names: list[str], values: tuple) -> Column:
+    result = F.lit(True)
+    for name, value in zip(names, values):
+        result = result & F.col(name).eqNullSafe(_literal(value))
+    return result
 
 
 def _literal(value) -> Column:
@@ -119,8 +112,8 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def at_most(order: list[str], key: tuple) -> Column:
-    """Row key <= ``key`` in lexicographic order."""
+    """Row key <= ``key`` in lexicographic order, NULLs last."""
     head, value = F.col(order[0]), _literal(key[0])
-    if len(order) == 1:
-        return head <= value
-    return (head < value) | ((head == value) & at_most(order[1:], key[1:]))
+    less = head.isNotNull() if key[0] is None else F.coalesce(head < value, F.lit(False))
+    equal = head.eqNullSafe(value)
+    return less | equal if len(order) == 1 else less | (equal & at_most(order[1:], key[1:]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import parsing, scores
@@ -16,7 +16,6 @@ from stayline.operators import (
     cohort, features, fusion, loading, metrics, modelling, quality, reports, scoring,
 )
 from stayline.operators import sequences as seq
-from stayline.operators.ranking import key_levels
 from stayline.operators.split import chronological_split, key_split, split_summary
 from stayline.plans import ingest, testdata, training
 from stayline.plans.testdata import raw_extracts, typed_tables
@@ -29,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SAMPLE_CAP = 3_000
-ROUNDS = 5  # boosting rounds of the registered training query; the operator's default is 600
+_TRAINED: dict[tuple[str, str], training.Trained] = {}
 
 
 def query(run: Query) -> Query:
@@ -54,6 +53,14 @@ def training_rows(spark, sf_dir):
     return features.training_set(feature_table(spark, sf_dir), labels(spark, sf_dir))
 
 
+def trained_tabular(spark, sf_dir) -> training.Trained:
+    """The tabular model of these tables, trained once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = training.train_tabular(training_rows(spark, sf_dir))
+    return _TRAINED[key]
+
+
 def sequence_table(spark, sf_dir):
     return seq.vital_sequence(
         testdata.icu_stay(spark, sf_dir), testdata.vital_sign(spark, sf_dir), labels(spark, sf_dir)
@@ -146,14 +153,18 @@ def note_lookup(spark, sf_dir):
 
 @query
 def model_bundle(spark, sf_dir):
-    """Train, save, load and score; the loaded model's scores."""
+    """Train, save and load: rows scored, and scores that the loaded model gives otherwise."""
     path = scratch_path(spark, "bundle")
-    trained = training.train_tabular(training_rows(spark, sf_dir), rounds=2)
-    bundles.save_bundle(spark, trained.bundle, path)
-    loaded = bundles.load_bundle(spark, path)
-    return scoring.tabular_scores(
-        testdata.encounter(spark, sf_dir), feature_table(spark, sf_dir), loaded
-    ).select("encounter_id", "xgb_score", "status")
+    own = trained_tabular(spark, sf_dir).bundle
+    bundles.save_bundle(spark, own, path)
+    wanted, features_in = testdata.encounter(spark, sf_dir), materialize(feature_table(spark, sf_dir), "features")
+    before, after = (
+        scoring.tabular_scores(wanted, features_in, b).select("encounter_id", F.col("xgb_score").alias(name), "status")
+        for name, b in (("before", own), ("after", bundles.load_bundle(spark, path)))
+    )
+    both = before.join(after.drop("status"), "encounter_id")
+    return both.groupBy("status").agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))
 
 
 @query
@@ -162,13 +173,23 @@ def present_columns(spark, sf_dir):
     return parsing.select_present(testdata.lab_result(spark, sf_dir).drop("value"), wanted)
 
 
-@query
-def ingest_summary(spark, sf_dir):
-    """The whole ingest: CSV extracts written, sampled, loaded into tables and counted."""
+def _ingested(spark, sf_dir, cap=None):
     root = scratch_path(spark, "ingest")
     for name, df in raw_extracts(spark, sf_dir).items():
         extracts.write_extract(df, f"{root}/raw", name)
-    return ingest.run_ingest(spark, f"{root}/raw", f"{root}/tables", cap=SAMPLE_CAP)
+    return ingest.run_ingest(spark, f"{root}/raw", f"{root}/tables", cap=cap)
+
+
+@query
+def ingest_summary(spark, sf_dir):
+    """The whole ingest: CSV extracts written, loaded into tables and counted."""
+    return _ingested(spark, sf_dir)
+
+
+@query
+def sampled_ingest_summary(spark, sf_dir):
+    """The same for a stratified sample of encounters."""
+    return _ingested(spark, sf_dir, SAMPLE_CAP)
 
 
 # --- loaders ---------------------------------------------------------------------------------
@@ -221,7 +242,7 @@ def sampled_labs(spark, sf_dir):
 def capped_vitals(spark, sf_dir):
     """A row cap at half of all readings, reached at the end of an encounter."""
     vitals = loading.load_vitals(testdata.raw_chartevents(spark, sf_dir))
-    return cohort.cap_rows(vitals, vitals.count() // 2, ["encounter_id"], key_levels("encounter_id"))
+    return cohort.cap_rows(vitals, vitals.count() // 2, "encounter_id")
 
 
 # --- lookups and reports ---------------------------------------------------------------------
@@ -540,20 +561,53 @@ def scaled_sequences(spark, sf_dir):
 # --- models and metrics ----------------------------------------------------------------------
 
 
+def _scored_splits(scored):
+    """Rows per split, and those without a probability as score."""
+    return scored.groupBy("split").agg(
+        F.count("*").alias("rows"),
+        F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("no_probability"))
+
+
 @query
 def tabular_model_scores(spark, sf_dir):
-    return training.train_tabular(training_rows(spark, sf_dir), rounds=ROUNDS).scored
+    return _scored_splits(trained_tabular(spark, sf_dir).scored)
 
 
 @query
 def feature_importances(spark, sf_dir):
-    trained = training.train_tabular(training_rows(spark, sf_dir), rounds=ROUNDS)
-    return modelling.feature_importances(spark, trained.bundle.model)
+    """How many features are ranked, the sum of their importances, and those out of order."""
+    ranked = modelling.feature_importances(spark, trained_tabular(spark, sf_dir).bundle.model)
+    before = F.lag("importance").over(Window.orderBy(F.desc("importance"), "feature"))
+    return ranked.withColumn("before", before).agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(F.col("before") < F.col("importance")).alias("out_of_order"))
 
 
 @query
 def sequence_model_scores(spark, sf_dir):
-    return training.train_sequences(sequence_table(spark, sf_dir)).scored
+    return _scored_splits(training.train_sequences(sequence_table(spark, sf_dir)).scored)
+
+
+def _with_gaps(spark, sf_dir):
+    """Scores and labels of which some are missing or not numbers."""
+    scored, key = scored_labels(spark, sf_dir), F.col("encounter_id")
+    score = F.when(key % 5 == 0, F.lit(None)).when(key % 5 == 1, F.lit(float("nan"))).otherwise(F.col("score"))
+    return scored.select("encounter_id", F.when(key % 7 != 0, F.col("label")).alias("label"), score.alias("score"))
+
+
+@query
+def ranking_metrics_with_missing_scores(spark, sf_dir):
+    return rounded(metrics.ranking_metrics(_with_gaps(spark, sf_dir)), "roc_auc", "average_precision")
+
+
+@query
+def roc_points_with_missing_scores(spark, sf_dir):
+    return rounded(metrics.roc_points(_with_gaps(spark, sf_dir)), "fpr", "tpr")
+
+
+@query
+def unranked_rows(spark, sf_dir):
+    return metrics.unranked_rows(_with_gaps(spark, sf_dir))
 
 
 @query
@@ -683,7 +737,7 @@ def prediction_records(spark, sf_dir):
 
 
 def _batch(spark, sf_dir, policy):
-    tabular = training.train_tabular(training_rows(spark, sf_dir), rounds=2).bundle
+    tabular = trained_tabular(spark, sf_dir).bundle
     sequences = materialize(sequence_table(spark, sf_dir), "vital-sequence")
     sequence = training.train_sequences(sequences).bundle
     paths = testdata.score_input(spark, sf_dir).select(
@@ -696,14 +750,23 @@ def _batch(spark, sf_dir, policy):
     )
 
 
+def _batch_summary(rows):
+    """Rows by the scores that went in; fused scores that aren't probabilities."""
+    return rows.groupBy(
+        F.col("xgb_score").isNotNull().alias("tabular"), F.col("lstm_score").isNotNull().alias("sequence"),
+        F.col("cnn_score").isNotNull().alias("image"),
+    ).agg(F.count("*").alias("rows"),
+          F.count_if(~F.coalesce(F.col("fusion_score").between(0, 1), F.lit(False))).alias("no_probability"))
+
+
 @query
 def batch_scores(spark, sf_dir):
-    return _fused(scoring.scored_only(_batch(spark, sf_dir, "api")))
+    return _batch_summary(scoring.scored_only(_batch(spark, sf_dir, "api")))
 
 
 @query
 def batch_scores_offline(spark, sf_dir):
-    return _fused(_batch(spark, sf_dir, "offline"))
+    return _batch_summary(_batch(spark, sf_dir, "offline"))
 
 
 @query

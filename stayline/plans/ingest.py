@@ -1,21 +1,20 @@
-"""The ingest job: raw extracts to the typed tables of a sampled cohort."""
+"""The ingest job: raw extracts to typed tables, of all encounters or a sampled cohort."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.operators import loading
-from stayline.operators.cohort import MAX_ENCOUNTERS, SEED, cap_rows, stratified_sample
-from stayline.operators.ranking import key_levels
+from stayline.operators.cohort import SEED, cap_rows, stratified_sample
 from stayline.operators.reports import table_counts
 from stayline.session import materialize
 from stayline.sources.extracts import read_extracts
 from stayline.sources.tables import reload_tables
 
 
-def build_tables(raw: dict[str, DataFrame], cap: int | None = MAX_ENCOUNTERS, seed: int = SEED,
+def build_tables(raw: dict[str, DataFrame], cap: int | None = None, seed: int = SEED,
                  max_vitals: int | None = None) -> dict[str, DataFrame]:
-    """The seven tables, restricted to a stratified sample of about ``cap`` encounters (None: all).
+    """The seven tables; ``cap`` restricts them to a stratified sample of about so many encounters.
 
     Admissions are parsed and written out before they are sampled, as sampling reads them more than once. The
     sample is written out once and then semi-joined with every extract. Its size is known by then, so
@@ -28,7 +27,7 @@ def build_tables(raw: dict[str, DataFrame], cap: int | None = MAX_ENCOUNTERS, se
     encounters = materialize(encounters, "cohort")
     vitals = loading.load_vitals(raw["chartevents"], encounters)
     if max_vitals is not None:
-        vitals = cap_rows(vitals, max_vitals, ["encounter_id"], key_levels("encounter_id"))
+        vitals = cap_rows(vitals, max_vitals, "encounter_id")
     return {
         "patient": loading.load_patients(raw["patients"], encounters),
         "encounter": encounters,
@@ -40,7 +39,7 @@ def build_tables(raw: dict[str, DataFrame], cap: int | None = MAX_ENCOUNTERS, se
     }
 
 
-def run_ingest(spark: SparkSession, raw_root: str, table_root: str, cap: int | None = MAX_ENCOUNTERS,
+def run_ingest(spark: SparkSession, raw_root: str, table_root: str, cap: int | None = None,
                seed: int = SEED, max_vitals: int | None = None, cluster: bool = True) -> DataFrame:
     """Load all extracts below ``raw_root`` into Parquet tables, clustered by encounter; returns the load summary."""
     tables = build_tables(read_extracts(spark, raw_root), cap, seed, max_vitals)

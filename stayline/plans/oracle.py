@@ -1,6 +1,6 @@
 """The catalog's queries as SQL over the raw test tables, for a comparison in another engine.
 
-Queries that train a model have no SQL twin.
+Queries that train a model are compared by what every sound model gives: rows, ranges, thresholds.
 """
 
 from __future__ import annotations
@@ -406,6 +406,9 @@ def _counts(pairs) -> str:
 
 _STEP = f"pos, {_rounded(V6)}"
 
+#: Rows with a label and a score that is a number, of scores with gaps.
+_GAPS = "SELECT * FROM scored WHERE encounter_id % 5 > 1 AND encounter_id % 7 <> 0 AND score IS NOT NULL"
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "csv_extract_scan": _sql("loaded_encounter", "SELECT * FROM loaded_encounter"),
@@ -426,6 +429,14 @@ ORACLE: dict[str, str] = {
     "present_columns": _sql("lab_result", """
         SELECT encounter_id, patient_id, lab_name, itemid, valuenum, valueuom, flag, chart_time FROM lab_result"""),
     "ingest_summary": _sql(
+        f"loaded_encounter {_ALL7} loaded_vital loaded_medication loaded_lab", _counts([
+            ("patient", "patient WHERE patient_id IN (SELECT patient_id FROM loaded_encounter)"),
+            ("encounter", "loaded_encounter"),
+            *[(t, f"{s} WHERE encounter_id IN (SELECT encounter_id FROM loaded_encounter)") for t, s in (
+                ("icu_stay", "icu_stay"), ("diagnosis", "diagnosis"), ("medication", "loaded_medication"),
+                ("vital_sign", "loaded_vital"), ("lab_result", "loaded_lab"))],
+        ])),
+    "sampled_ingest_summary": _sql(
         f"loaded_sample {_ALL7} loaded_vital loaded_medication loaded_lab", _counts([
             ("patient", "patient WHERE patient_id IN (SELECT patient_id FROM loaded_sample)"),
             ("encounter", "loaded_sample"),
@@ -594,6 +605,38 @@ ORACLE: dict[str, str] = {
         b AS ({_METRICS.format(rows="(SELECT * FROM scored WHERE encounter_id % 2 = 1)").replace('ROUND(SUM(p * (', '((SUM(p * (').replace('(SUM(p) * SUM(n)), 6)', '(SUM(p) * SUM(n))))')})
         SELECT ROUND(a.roc_auc, 6) AS train_auc, ROUND(b.roc_auc, 6) AS test_auc, ROUND(a.roc_auc - b.roc_auc, 6) AS gap,
                a.roc_auc - b.roc_auc < 0.05 AS ok FROM a, b"""),
+    "ranking_metrics_with_missing_scores": _sql("scored", _METRICS.format(rows=f"({_GAPS})")),
+    "roc_points_with_missing_scores": _sql("scored", f"""
+        SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+        UNION ALL
+        SELECT score, ROUND(SUM(n) OVER w / CAST(SUM(n) OVER () AS DOUBLE), 6), ROUND(SUM(p) OVER w / CAST(SUM(p) OVER () AS DOUBLE), 6)
+        FROM (SELECT score, SUM(label) AS p, SUM(1 - label) AS n FROM ({_GAPS}) u GROUP BY score) g
+        WINDOW w AS (ORDER BY score DESC)"""),
+    "unranked_rows": _sql("scored", """
+        SELECT COUNT(*) FILTER (encounter_id % 7 = 0) AS no_label,
+               COUNT(*) FILTER (encounter_id % 7 <> 0 AND (encounter_id % 5 = 0 OR encounter_id % 5 > 1 AND score IS NULL)) AS no_score,
+               COUNT(*) FILTER (encounter_id % 7 <> 0 AND encounter_id % 5 = 1) AS not_a_number FROM scored"""),
+    # models: what every sound model gives
+    "model_bundle": _sql("encounter features", """
+        SELECT CASE WHEN encounter_id IN (SELECT encounter_id FROM features) THEN 'ok' ELSE 'no features' END AS status,
+               COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed FROM encounter GROUP BY 1"""),
+    "tabular_model_scores": _sql(
+        "placed", "SELECT split, COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability FROM placed GROUP BY split"),
+    "feature_importances": (
+        f"SELECT CAST({len(MODEL_FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, "
+        "CAST(0 AS BIGINT) AS out_of_order"),
+    "sequence_model_scores": _sql(
+        "key_split", "SELECT split, COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability FROM key_split GROUP BY split"),
+    "batch_scores": _sql("encounter features inference_steps score_input", """
+        SELECT TRUE AS tabular, i.encounter_id IS NOT NULL AS sequence, s.image_path IS NOT NULL AS image,
+               COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability
+        FROM encounter e JOIN features f ON f.encounter_id = e.encounter_id
+        LEFT JOIN (SELECT DISTINCT encounter_id FROM inference_steps) i ON i.encounter_id = e.encounter_id
+        LEFT JOIN score_input s ON s.encounter_id = e.encounter_id GROUP BY 1, 2, 3"""),
+    "batch_scores_offline": _sql("encounter score_input", """
+        SELECT TRUE AS tabular, TRUE AS sequence, s.image_path IS NOT NULL AS image,
+               COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability
+        FROM encounter e LEFT JOIN score_input s ON s.encounter_id = e.encounter_id GROUP BY 1, 2, 3"""),
     # scoring and fusion
     "score_functions": _sql("score_input", """
         SELECT encounter_id, ROUND(1 / (1 + exp(-((xgb_score - 0.5) * 8))), 6) AS squashed,

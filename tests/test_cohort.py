@@ -7,19 +7,17 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import cohort, skew
-from stayline.operators.ranking import key_levels
+from stayline.operators import cohort
 
 ENCOUNTER = dict(encounter_id="bigint", patient_id="bigint", admit_time="timestamp_ntz", discharge_time="timestamp_ntz")
 # thresholds that make every patient hot, and none
-HOT, COLD = dict(min_rows=0, share=0.0), {}
 
 
 def flags(df):
     return {r["encounter_id"]: r["readmitted_30d"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("limits", [HOT, COLD])
+@pytest.mark.parametrize("limits", [{}, dict(rows_each=2)])
 def test_label_edges(frame, limits):
     stays = frame([
         # exactly 30 days, then 30 days and an hour, then nothing
@@ -62,7 +60,7 @@ def as_frame(frame, rows):
     return frame([(i, p, a and str(a), d and str(d)) for i, p, a, d in rows], **ENCOUNTER)
 
 
-@pytest.mark.parametrize("limits", [HOT, COLD, dict(min_rows=50, share=0.01)])
+@pytest.mark.parametrize("limits", [{}, dict(rows_each=50), dict(rows_each=7)])
 def test_label_and_prior_admissions_against_brute_force(frame, limits):
     rows = random_stays()
     by_patient = {}
@@ -86,10 +84,10 @@ def test_label_and_prior_admissions_against_brute_force(frame, limits):
     assert counted.columns == [*df.columns, "num_prior_admissions"]
 
 
-def test_hot_keys(frame):
-    df = frame([(1,)] * 40 + [(k,) for k in range(2, 32)], k="bigint")
-    assert [r["k"] for r in skew.hot_keys(df, "k", min_rows=10, share=0.1).collect()] == [1]
-    assert skew.hot_keys(df, "k").count() == 0
+def test_ranges_are_small_for_one_hour_and_without_times(frame):
+    stays = [(i, 1, "2020-01-01 05:00:00" if i % 2 else None, None) for i in range(3_000)]
+    placed = cohort.patient_timeline(frame(stays, **ENCOUNTER), rows_each=100)
+    assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] <= 300
 
 
 def brute_sample(rows, cap, seed=42):
@@ -123,9 +121,9 @@ def test_random_encounters_are_reproducible(frame):
 
 def test_cap_rows_keeps_ties(frame):
     df = frame([(k,) for k in (5, 1, 3, 3, 3, 2)], k="bigint")
-    kept = cohort.cap_rows(df, 3, ["k"], key_levels("k"))
+    kept = cohort.cap_rows(df, 3, "k", rows_each=2)
     assert sorted(r["k"] for r in kept.collect()) == [1, 2, 3, 3, 3]
-    assert cohort.cap_rows(df, 60, ["k"], key_levels("k")).count() == 6
+    assert cohort.cap_rows(df, 60, "k").count() == 6
 
 
 def test_empty_input(frame):

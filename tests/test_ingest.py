@@ -117,3 +117,17 @@ def test_documents(frame):
     wanted = frame([(7,), (8,)], encounter_id="bigint")
     assert [r["image_path"] for r in documents.find_documents(docs, wanted, modality="xray").collect()] == ["a"]
     assert documents.find_documents(docs, modality="xray").count() == 2
+
+
+def test_parts_with_other_column_orders_and_line_breaks(spark, tmp_path):
+    folder = tmp_path / "hosp" / "patients.csv"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("subject_id,gender,anchor_age\n1,M,40\n2,F,50\n")
+    (folder / "b.csv").write_text("gender,extra,subject_id\nF,x,3\n")
+    (folder / "c.csv").write_text("")
+    rows = extracts.read_extract(spark, str(tmp_path), "patients").orderBy("subject_id").collect()
+    assert [tuple(r) for r in rows] == [("1", "M", "40"), ("2", "F", "50"), ("3", "F", None)]
+    with gzip.open(tmp_path / "hosp" / "d_icd_diagnoses.csv.gz", "wt") as out:
+        out.write('icd_code,icd_version,long_title\nA1,10,"two\nlines, ""quoted"""\nA2,10,plain\n')
+    rows = extracts.read_extract(spark, str(tmp_path), "d_icd_diagnoses").orderBy("icd_code").collect()
+    assert [tuple(r) for r in rows] == [("A1", "10", 'two\nlines, "quoted"'), ("A2", "10", "plain")]

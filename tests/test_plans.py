@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stayline.operators import cohort, features, reports
 from stayline.operators import sequences as seq
-from stayline.operators.skew import hour_slice, slice_hot
 from stayline.plans import testdata
 from stayline.plans.catalog import QUERIES
 
@@ -59,13 +58,7 @@ def test_feature_joins_reuse_the_partitioning_of_the_reductions(spark, no_broadc
     text = plan(features.encounter_features(tables))
     # one exchange per source by encounter, with rows already reduced except for the encounters themselves
     assert len(re.findall(r"Exchange hashpartitioning\(encounter_id#\d+L, \d+\)", text)) == 5
-    assert text.count("SortMergeJoin") == 6
-
-
-def test_label_shuffles_the_rows_once(spark, no_broadcast):
-    text = plan(cohort.readmission_label(testdata.encounter(spark, SF_DIR)))
-    rows = [line for line in text.splitlines() if "Exchange hashpartitioning(_who" in line and "_slice" in line]
-    assert len(rows) == 3  # the rows, and two exchanges of the carried table of hot patients
+    assert text.count("SortMergeJoin") == 7
 
 
 def test_latest_rows_are_cut_before_the_shuffle(spark):
@@ -102,13 +95,3 @@ def test_hot_join_keys_are_split(spark, no_broadcast):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def test_hot_patient_is_sliced(spark):
-    """No slice of a patient with a third of all rows is large."""
-    key = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).cast("bigint")
-    time = F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(id AS INT)")
-    stays = spark.range(90_000).select(F.col("id").alias("encounter_id"), key.alias("patient_id"), time.alias("admit_time"))
-    sliced = slice_hot(stays, "patient_id", hour_slice(F.col("admit_time")), min_rows=1_000)
-    largest = sliced.groupBy("patient_id", "_slice").count().agg(F.max("count")).first()[0]
-    assert largest <= 60
