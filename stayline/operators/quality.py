@@ -18,11 +18,11 @@ MIN_SEQUENCE_ENCOUNTERS = 1_000
 def stage_counts(encounters: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
     """(tbl, n): rows at each stage, to see where encounters get lost."""
     return table_counts({
-        "encounter table": encounters,
-        "encounter_features view": features,
-        "readmission_label view": labels,
-        "readmitted_30d = 1": labels.where(F.col("readmitted_30d") == 1),
-        "after JOIN + LOS > 0": training_set(features, labels),
+        "encounters": encounters,
+        "with features": features,
+        "with label": labels,
+        "readmitted": labels.where(F.col("readmitted_30d") == 1),
+        "training rows": training_set(features, labels),
     }).withColumnRenamed("tbl", "stage")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from stayline.functions.scores import band_label, percent
 from stayline.functions.temporal import stay_days
@@ -174,9 +175,11 @@ def prediction_history(log: DataFrame, encounter_ids=None) -> DataFrame:
 
 
 def latest_predictions(log: DataFrame) -> DataFrame:
-    """Each encounter's newest prediction; the higher fusion score decides ties."""
+    """Each encounter's newest prediction; ties go to the higher fusion score, then to the higher other columns."""
+    first = ["encounter_id", "predicted_at", "fusion_score"]
+    rest = [c for c in log.columns if c not in first and not isinstance(log.schema[c].dataType, MapType)]
     newest = Window.partitionBy("encounter_id").orderBy(
-        F.col("predicted_at").desc_nulls_first(), F.col("fusion_score").desc_nulls_last()
+        F.col("predicted_at").desc_nulls_first(), *[F.col(c).desc_nulls_last() for c in ("fusion_score", *rest)]
     )
     return log.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")
 

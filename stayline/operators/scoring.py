@@ -69,8 +69,11 @@ def score_batch(wanted: DataFrame, features: DataFrame, sequences: DataFrame, vi
                 serving_defaults: bool = False) -> DataFrame:
     """Fused scores for all wanted encounters; those that cannot be scored carry a ``status`` and no score.
 
-    ``images`` holds (encounter_id, cnn_score), at most one row per encounter.
+    ``images`` holds (encounter_id, cnn_score), at most one row per encounter. Features, sequences and vitals are
+    reduced to the wanted encounters before anything is computed from them.
     """
+    keys = wanted.select("encounter_id").distinct()
+    features, sequences, vitals = (df.join(keys, "encounter_id", "left_semi") for df in (features, sequences, vitals))
     rows = tabular_scores(wanted, features, tabular, policy, serving_defaults)
     rows = rows.join(sequence_scores(sequences, vitals, sequence, policy, amplify), "encounter_id", "left")
     if policy == "offline":

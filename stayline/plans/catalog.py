@@ -18,6 +18,7 @@ from stayline.operators import (
 from stayline.operators import sequences as seq
 from stayline.operators.split import chronological_split, key_split, split_summary
 from stayline.plans import ingest, testdata, training
+from stayline.plans import scoring as scoring_job
 from stayline.plans.testdata import raw_extracts, typed_tables
 from stayline.schema import MODEL_FEATURES, SEQUENCE_VITALS, TABLES
 from stayline.session import materialize, scratch_path
@@ -142,13 +143,13 @@ def embedding_lookup(spark, sf_dir):
     found = documents.find_documents(
         testdata.embedding_doc(spark, sf_dir), testdata.encounter(spark, sf_dir), embedding_type="cnn"
     )
-    return found.select("encounter_id", "embedding_type", F.size("vector").alias("dimensions"))
+    return found.select("encounter_id", "embedding_type", "vector")
 
 
 @query
 def note_lookup(spark, sf_dir):
     linked = documents.find_documents(testdata.note_doc(spark, sf_dir), testdata.encounter(spark, sf_dir))
-    return linked.select("encounter_id", "note_type", F.length("text").alias("n_chars"))
+    return linked.select("encounter_id", "note_type", "text")
 
 
 @query
@@ -346,7 +347,7 @@ def prediction_history(spark, sf_dir):
 
 @query
 def latest_predictions(spark, sf_dir):
-    return reports.latest_predictions(testdata.risk_prediction(spark, sf_dir)).drop("xgb_score")
+    return reports.latest_predictions(testdata.risk_prediction(spark, sf_dir))
 
 
 @query
@@ -769,6 +770,16 @@ def batch_scores_offline(spark, sf_dir):
     return _batch_summary(_batch(spark, sf_dir, "offline"))
 
 
+@query
+def scored_log(spark, sf_dir):
+    """The scoring job's log for a third of the encounters, with given scores in place of the models'."""
+    root = scratch_path(spark, "tables")
+    wanted = testdata.encounter(spark, sf_dir).where("encounter_id % 3 = 0")
+    given = testdata.score_input(spark, sf_dir).join(wanted.select("encounter_id"), "encounter_id", "left_semi")
+    scoring_job.record_scores(fusion.fuse(given.withColumn("status", F.lit(scoring.OK)), "api"), root)
+    return tables.read_table(spark, root, "risk_prediction").drop("predicted_at")
+
+
 @query
 def tabular_score_status(spark, sf_dir):
     """Whether each encounter can be scored, without a model."""

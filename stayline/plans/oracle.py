@@ -5,11 +5,33 @@ Queries that train a model are compared by what every sound model gives: rows, r
 
 from __future__ import annotations
 
-from stayline.schema import (
-    LAB_ITEMS, MODEL_FEATURES, SEQUENCE_VITALS, SERVED_FEATURES, TEXT_LIMITS,
-)
-
-V6 = SEQUENCE_VITALS
+# Fixed values, written out here too, so that a wrong entry of the library shows as a difference.
+V6 = ["heart_rate", "bp_systolic", "bp_diastolic", "temperature_f", "respiratory_rate", "spo2"]
+MODEL_FEATURES = [
+    "age_at_admission", "length_of_stay", "num_diagnoses", "num_medications", "avg_hr", "max_bp_sys",
+    "avg_temp", "max_creatinine", "max_wbc", "num_prior_admissions",
+]
+SERVED_FEATURES = [
+    "age_at_admission", "length_of_stay", "num_diagnoses", "num_medications", "max_creatinine",
+    "max_wbc", "num_prior_admissions",
+]
+LAB_ITEMS = {
+    50912: "Creatinine", 51006: "Blood Urea Nitrogen", 51301: "White Blood Cells", 51222: "Hemoglobin",
+    50983: "Sodium", 50971: "Potassium", 50931: "Glucose", 51003: "Troponin T", 50813: "Lactate", 50862: "Albumin",
+    51265: "Platelet Count", 50882: "Bicarbonate", 50893: "Calcium Total", 50902: "Chloride",
+}
+TEXT_LIMITS = {
+    "patient": {"gender": 1},
+    "encounter": {
+        "admission_type": 100, "admission_location": 100, "discharge_location": 100,
+        "insurance": 50, "marital_status": 50, "race": 100,
+    },
+    "icu_stay": {"first_careunit": 50, "last_careunit": 50},
+    "diagnosis": {"icd_code": 20},
+    "medication": {"drug_type": 50, "route": 50},
+    "lab_result": {"lab_name": 100, "valueuom": 20, "flag": 20},
+    "vital_sign": {"vital_type": 50, "unit": 20},
+}
 _IN6 = ", ".join(f"'{v}'" for v in V6)
 
 
@@ -421,10 +443,10 @@ ORACLE: dict[str, str] = {
     "prediction_log_append": _sql(
         "fused", f"SELECT encounter_id, {_LOG_COLUMNS}, risk_level, 'v2_mimic' AS model_version FROM fused"),
     "embedding_lookup": """
-        SELECT vec_id AS encounter_id, 'cnn' AS embedding_type, CAST(len(embedding) AS INT) AS dimensions FROM embeddings
+        SELECT vec_id AS encounter_id, 'cnn' AS embedding_type, embedding AS vector FROM embeddings
         WHERE label % 2 = 0 AND vec_id IN (SELECT o_orderkey FROM orders)""",
     "note_lookup": """
-        SELECT doc_id AS encounter_id, source AS note_type, CAST(length(text) AS INT) AS n_chars FROM documents
+        SELECT doc_id AS encounter_id, source AS note_type, text FROM documents
         WHERE doc_id IN (SELECT o_orderkey FROM orders)""",
     "present_columns": _sql("lab_result", """
         SELECT encounter_id, patient_id, lab_name, itemid, valuenum, valueuom, flag, chart_time FROM lab_result"""),
@@ -502,8 +524,8 @@ ORACLE: dict[str, str] = {
         FROM encounter e JOIN label l ON l.encounter_id = e.encounter_id GROUP BY 1"""),
     "prediction_history": _sql("risk_prediction", "SELECT * FROM risk_prediction"),
     "latest_predictions": _sql("risk_prediction", """
-        SELECT encounter_id, fusion_score, risk_level, model_version, predicted_at
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY encounter_id ORDER BY predicted_at DESC, fusion_score DESC) AS rn
+        SELECT encounter_id, xgb_score, fusion_score, risk_level, model_version, predicted_at
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY encounter_id ORDER BY predicted_at DESC, fusion_score DESC, xgb_score DESC) AS rn
               FROM risk_prediction) t WHERE rn = 1"""),
     "prediction_summary": _sql("risk_prediction", """
         SELECT COUNT(*) AS total_predictions, ROUND(AVG(fusion_score), 6) AS avg_risk_score,
@@ -673,13 +695,17 @@ ORACLE: dict[str, str] = {
         SELECT encounter_id, CAST(NULL AS DOUBLE) AS xgb_score,
                CASE WHEN encounter_id IN (SELECT encounter_id FROM features) THEN 'no model' ELSE 'no features' END AS status
         FROM encounter"""),
+    "scored_log": _sql("fused encounter", """
+        SELECT f.encounter_id, ROUND(xgb_score, 4) AS xgb_score, ROUND(lstm_score, 4) AS lstm_score,
+               ROUND(cnn_score, 4) AS cnn_score, fusion_score, risk_level, 'v2_mimic' AS model_version
+        FROM fused f JOIN encounter e ON e.encounter_id = f.encounter_id WHERE f.encounter_id % 3 = 0"""),
     # quality
     "stage_counts": _sql("encounter features label training", """
-        SELECT 'encounter table' AS stage, COUNT(*) AS n FROM encounter
-        UNION ALL SELECT 'encounter_features view', COUNT(*) FROM features
-        UNION ALL SELECT 'readmission_label view', COUNT(*) FROM label
-        UNION ALL SELECT 'readmitted_30d = 1', COUNT(*) FROM label WHERE readmitted_30d = 1
-        UNION ALL SELECT 'after JOIN + LOS > 0', COUNT(*) FROM training"""),
+        SELECT 'encounters' AS stage, COUNT(*) AS n FROM encounter
+        UNION ALL SELECT 'with features', COUNT(*) FROM features
+        UNION ALL SELECT 'with label', COUNT(*) FROM label
+        UNION ALL SELECT 'readmitted', COUNT(*) FROM label WHERE readmitted_30d = 1
+        UNION ALL SELECT 'training rows', COUNT(*) FROM training"""),
     "threshold_checks": _sql("training sequence", """
         SELECT "check", ROUND(value, 6) AS value, threshold, value >= threshold AS ok FROM (
           SELECT 'training rows' AS "check", CAST(COUNT(*) AS DOUBLE) AS value, CAST(50000 AS DOUBLE) AS threshold FROM training

@@ -12,6 +12,10 @@ def _table(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+# ---------------------------------------------------------------------------------------------
+# Tables, item codes, column lists, thresholds and weights that results depend on.
+# ---------------------------------------------------------------------------------------------
+
 TABLES: dict[str, T.StructType] = {
     "patient": _table(patient_id=_L, gender=_S, anchor_age=_I, anchor_year=_I, dod=_DATE),
     "encounter": _table(
@@ -34,23 +38,12 @@ TABLES: dict[str, T.StructType] = {
     "vital_sign": _table(
         encounter_id=_L, icu_stay_id=_L, vital_type=_S, value=_D, unit=_S, recorded_at=_NTZ,
     ),
-    "imaging_study": _table(
-        study_id=_L, encounter_id=_L, patient_id=_L, modality=_S, body_part=_S, mongo_id=_S,
-        file_name=_S, study_date=_DATE, report_text=_S,
-    ),
-    "clinical_note": _table(
-        note_id=_L, encounter_id=_L, patient_id=_L, note_type=_S, mongo_id=_S, note_date=_NTZ,
-    ),
     "risk_prediction": _table(
         encounter_id=_L, xgb_score=_D, lstm_score=_D, cnn_score=_D, fusion_score=_D, risk_level=_S,
         model_version=_S, predicted_at=T.TimestampType(),
     ),
 }
 
-# ---------------------------------------------------------------------------------------------
-# Item codes, column lists, thresholds and weights that results depend on.
-# ---------------------------------------------------------------------------------------------
-
 # chart item id -> (vital type, unit)
 VITAL_ITEMS: dict[int, tuple[str, str]] = {
     220045: ("heart_rate", "bpm"),

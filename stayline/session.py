@@ -49,13 +49,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_COPIES: list[str] = []
+
+
+def remove_copies(spark: SparkSession) -> int:
+    """Delete the copies ``materialize`` has made in this process; call it when a job's results are written.
+
+    Frames that read them can't be used afterwards. Returns how many there were.
+    """
+    conf, removed = spark.sparkContext._jsc.hadoopConfiguration(), len(_COPIES)
+    while _COPIES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_COPIES.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result is read several times (model fitting, metrics). The copy survives the loss of
-    executors and cuts the lineage.
+    executors and cuts the lineage; ``remove_copies`` deletes it.
     """
     path = scratch_path(df.sparkSession, name)
+    _COPIES.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

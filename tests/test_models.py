@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators import modelling, scoring
+from stayline.plans import scoring as scoring_job
 from stayline.plans import training
 from stayline.schema import MODEL_FEATURES, SEQUENCE_VITALS
 from stayline.sources.bundles import load_bundle, save_bundle
@@ -124,3 +125,25 @@ def test_without_models(spark, planted, planted_sequences):
     vitals = spark.createDataFrame([], "encounter_id long, icu_stay_id long, vital_type string, value double, recorded_at timestamp_ntz")
     rows = scoring.score_batch(planted, planted, planted_sequences, vitals, None, None)
     assert {r["status"] for r in rows.select("status").distinct().collect()} == {"no model"}
+
+
+def test_scoring_job(spark, planted, trained, planted_sequences, tmp_path):
+    path = str(tmp_path / "bundle")
+    save_bundle(spark, trained.bundle, path)
+    vitals = spark.createDataFrame([], "encounter_id long, icu_stay_id long, vital_type string, value double, recorded_at timestamp_ntz")
+    tables = {"features": planted, "sequences": planted_sequences, "vital_sign": vitals}
+    wanted = spark.range(1490, 1510).withColumnRenamed("id", "encounter_id")
+    records = scoring_job.run_scoring(spark, wanted, tables, str(tmp_path / "tables"), path, str(tmp_path / "none"))
+    assert sorted(r["encounter_id"] for r in records.collect()) == list(range(1490, 1500))
+    log = spark.read.parquet(str(tmp_path / "tables" / "risk_prediction"))
+    assert log.count() == 10 and log.where("fusion_score IS NULL OR predicted_at IS NULL").count() == 0
+    result = scoring_job.evaluation(spark, trained)
+    assert result["classification_report"].count() == 5 and result["importances"].first()["feature"] == "num_prior_admissions"
+    assert {r["model"] for r in result["baseline"].collect()} == {"baseline", "model"} and result["overfit"].count() == 1
+
+
+def test_only_wanted_encounters_are_scored(spark, planted, trained, planted_sequences):
+    vitals = spark.createDataFrame([], "encounter_id long, icu_stay_id long, vital_type string, value double, recorded_at timestamp_ntz")
+    wanted = spark.createDataFrame([(3,), (3,), (9_999,)], "encounter_id long")
+    rows = scoring.score_batch(wanted, planted, planted_sequences, vitals, trained.bundle, None).collect()
+    assert sorted((r["encounter_id"], r["status"]) for r in rows) == [(3, "ok"), (3, "ok"), (9999, "no features")]

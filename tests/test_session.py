@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from stayline.session import materialize, scratch_path
+from stayline.session import materialize, remove_copies, scratch_path
 
 
 def session(master, folder=None):
@@ -23,3 +23,15 @@ def test_materialize_keeps_schema_and_rows(spark):
     copy = materialize(df, "copy")
     assert copy.dtypes == df.dtypes and copy.count() == 10
     assert materialize(df.where("false"), "empty").count() == 0
+
+
+def test_copies_are_removed(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    remove_copies(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        copies = [materialize(spark.range(5), "one"), materialize(spark.range(5), "two")]
+        assert sum(c.count() for c in copies) == 10 and len(list(tmp_path.iterdir())) == 2
+        assert remove_copies(spark) == 2 and not list(tmp_path.iterdir())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
