@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pathlib
 from types import SimpleNamespace
 
 import pytest
 
+from stayline import session as session_module
 from stayline.session import materialize, remove_copies, scratch_path
 
 
@@ -25,13 +27,9 @@ def test_materialize_keeps_schema_and_rows(spark):
     assert materialize(df.where("false"), "empty").count() == 0
 
 
-def test_copies_are_removed(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    remove_copies(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        copies = [materialize(spark.range(5), "one"), materialize(spark.range(5), "two")]
-        assert sum(c.count() for c in copies) == 10 and len(list(tmp_path.iterdir())) == 2
-        assert remove_copies(spark) == 2 and not list(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_copies_are_removed(spark, monkeypatch):
+    monkeypatch.setattr(session_module, "_COPIES", [])
+    copies = [materialize(spark.range(5), "one"), materialize(spark.range(5), "two")]
+    folders = [pathlib.Path(p) for p in session_module._COPIES]
+    assert sum(c.count() for c in copies) == 10 and all(f.exists() for f in folders)
+    assert remove_copies(spark) == 2 and not any(f.exists() for f in folders)
