@@ -7,7 +7,7 @@ doc_id order, and is closed once it holds ``BLOCK_IDS`` ids:
 * ``n_docs``, ``n_ids``, ``n_null``: documents, ids, leading documents without a doc_id;
 * ``ids``: all ids of the block, little-endian, ``width`` bytes each (2 while the vocabulary fits, else 4);
 * ``ends``: Elias-Fano sequence of the documents' end offsets within ``ids``;
-* ``doc_ids``: Elias-Fano sequence of the doc_ids less the first one, ``first_doc``.
+* ``doc_ids``: Elias-Fano sequence of the doc_ids less the first one, ``first_doc``; the last is ``last_doc``.
 
 An Elias-Fano sequence of n values up to u takes about 2 + log2(u / n) bits each: the low bits are packed, the
 high parts are a bit vector in which value i sets bit (high + i). ``EliasFano.select`` finds value i with one
@@ -39,7 +39,7 @@ CACHED = 600_000
 SHARD_DOCS = 4096
 SAMPLE = 256  # ones between two sampled positions of the select structure
 
-BLOCK_SCHEMA = ("shard int, block int, n_docs int, n_ids long, n_null int, first_doc long, width int, ids binary, "
+BLOCK_SCHEMA = ("shard int, block int, n_docs int, n_ids long, n_null int, first_doc long, last_doc long, width int, ids binary, "
                 "ends binary, doc_ids binary")
 
 
@@ -179,10 +179,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id:
     shard = F.lit(0) if place is None else F.when(F.col("doc_id").isNull(), 0).otherwise(
         F.size(F.filter(place, lambda x: x < F.col("doc_id")))).cast("int")
     ordered = rows.withColumn("shard", shard)
-    if limits:
-        ordered = ordered.repartition(len(limits) + 1, "shard")
-    else:
-        ordered = ordered.repartition(1)
+    ordered = ordered.repartitionById(len(limits) + 1, F.col("shard"))
     ordered = ordered.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -225,7 +222,7 @@ class Block:
         first = known[0] if known else 0
         values = dict(
             shard=shard, block=block, n_docs=len(self.ends), n_ids=self.n_ids, n_null=len(self.doc_ids) - len(known),
-            first_doc=first, width=self.width, ids=b"".join(self.parts), ends=EliasFano.encode(np.array(self.ends)),
+            first_doc=first, last_doc=known[-1] if known else 0, width=self.width, ids=b"".join(self.parts), ends=EliasFano.encode(np.array(self.ends)),
             doc_ids=EliasFano.encode(np.array([d - first for d in known], np.uint64)))
         return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) for f in schema], schema=schema)
 
@@ -246,35 +243,37 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files at ``path``."""
-    blocks = spark.read.parquet(path).join(block_starts(spark, path), ["shard", "block"])
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                        ("ids_crc32", pa.int64())])
+    blocks = spark.read.parquet(path)
+    names = ["shard", "block", "doc_id", "first", "n_tokens", "ids_crc32"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                number = {k: row[k].as_py() for k in ("n_null", "first_doc", "width", "base")}
+                number = {k: row[k].as_py() for k in ("shard", "block", "n_null", "first_doc", "width")}
                 ids = np.frombuffer(row["ids"].as_buffer(), f"<u{number['width']}")
                 ends = EliasFano(row["ends"].as_py()).all().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 docs = EliasFano(row["doc_ids"].as_py()).all().astype(np.int64) + number["first_doc"]
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(ends), number["shard"], np.int32)),
+                    pa.array(np.full(len(ends), number["block"], np.int32)),
                     pa.array([None] * number["n_null"] + docs.tolist(), pa.int64()),
-                    pa.array(starts + number["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    schema=schema)
+                    pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=names)
 
-    return blocks.select("ids", "ends", "doc_ids", "n_null", "first_doc", "width", "base").mapInArrow(
-        task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = blocks.select("shard", "block", "ids", "ends", "doc_ids", "n_null", "first_doc", "width").mapInArrow(
+        task, "shard int, block int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    return found.join(block_starts(spark, path), ["shard", "block"]).select(
+        "doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """The ids of the document(s) with one doc_id, by select on the boundaries of the blocks that may hold it."""
-    blocks = spark.read.parquet(path).where((F.col("first_doc") <= doc_id) & (F.col("n_docs") > F.col("n_null")))
-    last = blocks.groupBy("shard").agg(F.max("first_doc").alias("first_doc"))
+    blocks = spark.read.parquet(path).where(
+        (F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id) & (F.col("n_docs") > F.col("n_null")))
     found = []
-    for row in blocks.join(last, ["shard", "first_doc"]).orderBy("shard", "block").toLocalIterator():
+    for row in blocks.orderBy("shard", "block").toLocalIterator():
         docs, ends = EliasFano(bytes(row.doc_ids)).all(), EliasFano(bytes(row.ends))
         ids = np.frombuffer(row.ids, f"<u{row.width}")
         for i in np.flatnonzero(docs == doc_id - row.first_doc) + row.n_null:
