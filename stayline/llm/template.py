@@ -6,7 +6,7 @@
    its entries times a hash of the page, which partial sums add up, so a hot host is summed by all tasks.
 3. A class is *valid* if it is found on ``SUPPORT`` of the host's pages, equally often on each, and holds
    more than one token. The elements of valid classes nest along their paths into the template. Repeated text
-   blocks of valid classes (notices, copyright lines) are template too, unless they lie within the main slot.
+   blocks of valid classes (notices, copyright lines) are template too, unless the main slot is an article.
 4. What lies between template elements are *slots*. The main slot is the template element with the most text that
    isn't link text, summed over the host, outside elements that are never main text.
 5. A page's text is the blocks of the main slot, without nested elements that are never main text.
