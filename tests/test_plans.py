@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stayline.operators import cohort, features, reports
+from stayline.operators import features, reports
 from stayline.operators import sequences as seq
 from stayline.plans import testdata
 from stayline.plans.catalog import QUERIES
