@@ -52,16 +52,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _COPIES: list[str] = []
 
 
-def remove_copies(spark: SparkSession) -> int:
-    """Delete the copies ``materialize`` has made in this process; call it when a job's results are written.
+def copies_made() -> list[str]:
+    """Paths of the copies made in this process and not removed."""
+    return list(_COPIES)
 
-    Frames that read them can't be used afterwards. Returns how many there were.
+
+def remove_copies(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete copies ``materialize`` has made in this process, all or those at ``paths``.
+
+    Call it when results are written: frames that read the copies can't be used afterwards. Returns how many
+    there were.
     """
-    conf, removed = spark.sparkContext._jsc.hadoopConfiguration(), len(_COPIES)
-    while _COPIES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_COPIES.pop())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = [p for p in _COPIES if paths is None or p in paths]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return removed
+        _COPIES.remove(name)
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
