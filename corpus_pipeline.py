@@ -1,11 +1,15 @@
 """From raw documents to token files: language ID, near-dedup, decontamination, mixing, token ids.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's ``docs``.
+written as Parquet and read again as the next one's ``docs``. So when a stage begins, the intermediate copies of the
+stage before aren't needed any more, and are deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm.binary_ids import token_id_table
@@ -14,28 +18,52 @@ from stayline.llm.cross_parse import UNKNOWN, predict_languages, training_sample
 from stayline.llm.decontamination import clean_documents
 from stayline.llm.mixing import mixed_documents
 from stayline.llm.near_documents import distinct_documents
+from stayline.session import copies_made, remove_copies
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_MADE: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    """``stage``, after deleting the copies of the stage before."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_copies(spark, _MADE)
+        before = set(copies_made())
+        result = stage(spark, docs, sf_dir)
+        _MADE[:] = [path for path in copies_made() if path not in before]
+        return result
+
+    return run_stage
+
 
 
+@staged
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter are rejected."""
     found = predict_languages(docs, training_sample(docs))
     return found.where(found["_lang"] != UNKNOWN).select(*docs.columns)
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_documents(docs)
 
 
+@staged
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark passage."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixed_documents(docs)
 
 
+@staged
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the written files."""
     return token_id_table(docs)
