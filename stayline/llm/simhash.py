@@ -28,6 +28,7 @@ from stayline.llm.common import materialize, small_batches, words_of
 SEED = 42
 SHARD = 4096
 GATHER = 1 << 16
+FRONTIER = 1 << 18
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -129,8 +130,8 @@ class Forest:
     def __init__(self, fps: np.ndarray, group: np.ndarray):
         n = len(fps)
         self.fps, self.bits = fps, fps.shape[1] * 64 + 1
-        groups, first = np.unique(group, return_index=True)
-        self.groups, self.roots = groups, first
+        groups, first, sizes = np.unique(group, return_index=True, return_counts=True)
+        self.groups, self.roots, self.sizes = groups, first, sizes
         node, alive = first[np.searchsorted(groups, group)], np.ones(n, bool)
         alive[first] = False
         edges, children = [], []
@@ -150,13 +151,16 @@ class Forest:
         #: (node, distance to the child) of every edge in order, and its child
         self.edges, self.children = edge[order], (np.concatenate(children) if children else np.empty(0, np.int64))[order]
 
-    def search(self, queries: np.ndarray, group: np.ndarray, radius: int, block: int = 1024):
-        """Pairs (query, node) within ``radius``, in blocks of queries, following only edges within the radius."""
+    def search(self, queries: np.ndarray, group: np.ndarray, radius: int, most: int = FRONTIER):
+        """Pairs (query, node) within ``radius``, in blocks of queries, following only edges within the radius.
+
+        A block's queries have trees of ``most`` nodes together, or it is one query, which bounds the frontier.
+        """
         place = np.searchsorted(self.groups, group)
         inside = (place < len(self.groups)) & (self.groups[np.minimum(place, len(self.groups) - 1)] == group)
         known = np.flatnonzero(inside)
-        for start in range(0, len(known), block):
-            query = known[start:start + block]
+        reach = np.cumsum(self.sizes[place[known]]) // most
+        for query in np.split(known, np.flatnonzero(np.diff(reach)) + 1) if len(known) else ():
             node = self.roots[place[query]]
             while len(query):
                 d = distance(queries[query], self.fps[node])
