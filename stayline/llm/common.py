@@ -9,7 +9,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,27 +101,15 @@ _KEPT: dict = {}
 
 
 def per_worker(key, make: Callable):
-    """A value made once in each Python worker: a tokenizer, a model from a broadcast. The last few are kept."""
+    """A value made once in each Python worker: a tokenizer, a model from a broadcast.
+
+    Only the last one is kept. Workers live on from stage to stage, and what an earlier one needed would add up.
+    """
     if key not in _KEPT:
-        while len(_KEPT) >= 8:
-            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
-def add_counts(totals: dict, words: Iterable, most: int) -> bool:
-    """Count ``words`` into ``totals``; True once it holds more than ``most`` keys and should be passed on."""
-    get = totals.get
-    for w in words:
-        totals[w] = get(w, 0) + 1
-    return len(totals) > most
-
-
 def as_text(word: bytes) -> str:
     return word.decode("utf-8", "surrogatepass")
-
-
-def u64(values) -> np.ndarray:
-    return np.fromiter(values, dtype=np.uint64, count=len(values) if hasattr(values, "__len__") else -1)
-
-

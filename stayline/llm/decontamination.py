@@ -35,7 +35,7 @@ SPANS = tuple(m[-1] + 1 for m in MASKS)
 LEAST = 13
 PENALTY, DROP, REACH = 2, 6, 64
 BITMAP_BITS = 1 << 27
-WORDS_CACHED = 500_000
+WORDS_CACHED = 300_000
 
 _PUNCTUATION = bytes.maketrans(b"", b"")
 _REMOVED = string.punctuation.encode()

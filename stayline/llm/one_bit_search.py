@@ -19,13 +19,14 @@ Queries are searched in rounds of ``ROUND``, each broadcast (of a fixed size), a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.llm.common import materialize, per_worker, scratch_path
+from stayline.llm.common import materialize, scratch_path
 
 BLOCK = 2048
 ROUND = 4096
@@ -36,6 +37,7 @@ INDEX_SCHEMA = "dim int, n int, ids binary, vectors binary, codes binary, scalar
 RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
+@cache
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix, the same wherever it is made."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
@@ -79,7 +81,7 @@ def index(df: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             for ids, vectors in by_dimension(batch):
                 dim = vectors.shape[1]
-                turn = per_worker(("rotation", dim), lambda dim=dim: rotation(dim))
+                turn = rotation(dim)
                 for start in range(0, len(ids), block):
                     some = vectors[start:start + block]
                     codes, scalars = encode(some, turn)
@@ -170,7 +172,7 @@ def searcher(shared, k: int, epsilon: float):
                 vectors = np.frombuffer(raw["vectors"]).reshape(-1, dim)
                 codes = np.frombuffer(raw["codes"], np.uint8).reshape(len(ids), -1)
                 signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float64) * 2 - 1
-                turn = per_worker(("rotation", dim), lambda dim=dim: rotation(dim))
+                turn = rotation(dim)
                 for start in range(0, len(query_ids), CHUNK):
                     some, some_ids = queries[start:start + CHUNK], query_ids[start:start + CHUNK]
                     for q, near, scores in search_block(some, some_ids, unit(some) @ turn, vectors, ids, signs,
