@@ -35,7 +35,7 @@ from stayline.llm.common import per_worker, scratch_path, small_batches
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 20
-CACHED = 600_000
+CACHED = 300_000
 SHARD_DOCS = 4096
 SAMPLE = 256  # ones between two sampled positions of the select structure
 
@@ -117,7 +117,9 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
+        #: chunks since the cache was last full, and those of the filling before
         self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cached = cached
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -136,11 +138,15 @@ class TextEncoder:
             pass
         missing = [c for c in dict.fromkeys(chunks) if c not in self.inner]
         if len(self.inner) + len(missing) > self.cached:
-            self.inner.clear()
+            self.older, self.inner = self.inner, {}
             missing = list(dict.fromkeys(chunks))
+        again = [c for c in missing if c in self.older]
+        self.inner.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        missing = [c for c in missing if c not in self.inner] if again else missing
         if any(not c or c[0].isspace() or c[-1].isspace() for c in missing):
             return self._encode(text).tobytes()
-        self._learn(missing)
+        if missing:
+            self._learn(missing)
         return self.first(first) + b"".join(map(self.inner.__getitem__, chunks))
 
     def _learn(self, chunks: list[str]) -> None:
