@@ -74,12 +74,23 @@ def word_pieces(words: DataFrame, path: str) -> DataFrame:
 
 
 def head_of(words: DataFrame, value: str, size: int = HEAD) -> dict:
-    """The ``size`` commonest words with their value: the part that is broadcast, of a fixed size.
+    """Up to ``size`` of the commonest words with their value: the part that is broadcast, of a fixed size.
 
-    Words of over ``LONGEST`` bytes never belong to it, so it holds at most ``size`` times ``LONGEST`` bytes.
+    A histogram of frequencies, in steps of a few per cent, gives the frequency from which at most ``size`` words are;
+    only those come to the driver. Words of over ``LONGEST`` bytes never belong to it, so it holds at most ``size``
+    times ``LONGEST`` bytes. The dict is in falling order of frequency.
     """
-    rows = words.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size)
-    return {bytes(r[0]): r[1] for r in rows.select("word", value).collect()}
+    short = words.where(F.length("word") <= LONGEST)
+    step = F.floor(F.log2("n") * 16)
+    found, least = 0, None
+    for bucket, n in sorted(short.groupBy(step).count().collect(), reverse=True):
+        if found + n > size:
+            break
+        found, least = found + n, bucket
+    if least is None:
+        return {}
+    rows = short.where(step >= least).select("word", "n", value).collect()
+    return {bytes(r[0]): r[2] for r in sorted(rows, key=lambda r: (-r[1], bytes(r[0])))}
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
