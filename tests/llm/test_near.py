@@ -84,3 +84,47 @@ def test_one_document_of_each_group_stays(documents, rows, nothing):
     assert long_enough <= set(ids) and 0 in ids and 1 not in ids
     assert near_documents.distinct_documents(nothing).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def jaccard(a, b):
+    one, other = (set(near_documents.shingle_set(t).tolist()) for t in (a, b))
+    return len(one & other) / len(one | other)
+
+
+def brute_kept(texts, least=0.8):
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= least and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("part", [128, 4])
+def test_shingle_sets_decide(spark, monkeypatch, part):
+    monkeypatch.setattr(near_documents, "PART", part)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):  # a changed word takes 5 of 196 shingles
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for changes in (2, 4, 5, 6):
+            other = list(words)
+            for at in rng.sample(range(10, 190, 6), changes):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+    words = [f"v{k}" for k in range(300)]
+    for step in range(12):  # a chain: only neighbours are similar
+        texts.append(" ".join(words[12 * step:12 * step + 150]))
+    once, often = [f"r{k}" for k in range(50)], [f"s{k}" for k in range(5)] * 400
+    texts += [" ".join(often + once[:20]), " ".join(often + once[20:])]  # equal fingerprints if repeats counted
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in near_documents.distinct_documents(df).collect()}
+    kept = brute_kept(texts)
+    assert got == kept and {150, 162, 163} <= kept and 40 < len(kept) < len(texts) - 60
