@@ -10,7 +10,7 @@ depends on the dimension and the seed alone, so nothing is fitted.
 ``|<o, q> - <x, q> / s| <= sqrt(1 - <o, q>^2) * sqrt(1 - s^2) / s``, which is certain but wide; for a random
 rotation that part is spread over d - 1 directions, so ``EPSILON / sqrt(d - 1)`` times it holds with a
 probability that falls like a normal tail. A block's candidates for a query are those whose upper bound reaches
-the k-th best lower bound of the block; they are scored exactly, on the original vectors. Each query keeps k rows per
+the k-th best lower bound of the block's rows with other ids; they are scored exactly, on the original vectors. Each query keeps k rows per
 task, the partial results are merged, and ties go to the smaller id.
 
 Queries are searched in rounds of ``ROUND``, each broadcast (of a fixed size), against all blocks.
@@ -126,10 +126,12 @@ def search_block(queries, query_ids, turned, vectors, ids, signs, scalars, k: in
     rest = np.sqrt(np.maximum(0.0, 1 - np.minimum(1.0, np.maximum(0.0, np.abs(estimate) - spread))**2))
     error = rest * spread + 1e-9
     lower, upper = estimate - error, estimate + error
-    kth = min(k + 1, len(ids))  # one more: the query's own vector may be in the block
+    own = ids[None, :] == np.asarray(query_ids)[:, None]
+    lower[own] = -np.inf  # rows of the query's id are no candidates, so they mustn't set the bound
+    kth = min(k, len(ids))  # with fewer than k other rows the bound is -inf, and all of them are candidates
     least = np.partition(lower, len(ids) - kth, axis=1)[:, len(ids) - kth]
     for q in range(len(queries)):
-        at = np.flatnonzero((upper[q] >= least[q]) & (ids != query_ids[q]))
+        at = np.flatnonzero((upper[q] >= least[q]) & ~own[q])
         if len(at):
             scores = cosines(vectors[at], queries[q])
             top = best_of(ids[at], scores, k)

@@ -72,3 +72,19 @@ def test_bounds_hold_for_most():
 
 def test_cosine_of_extreme_vectors():
     assert np.allclose(obs.cosines(np.array([[1e-200, 0.0], [1e200, 1e200]]), np.array([1e-200, 1e-200])), [0.5**0.5, 1.0])
+
+
+def test_own_rows_do_not_prune_others():
+    rng = np.random.default_rng(2)
+    dim, query = 32, rng.standard_normal(32)
+    others = rng.standard_normal((40, dim))
+    vectors = np.concatenate([np.tile(query, (10, 1)), others])
+    ids = np.array([50] * 10 + list(range(100, 140)))
+    turn = obs.rotation(dim)
+    codes, scalars = obs.encode(vectors, turn)
+    signs = np.unpackbits(codes, axis=1, count=dim).astype(float) * 2 - 1
+    found = list(obs.search_block(query[None], np.array([50]), obs.unit(query[None]) @ turn, vectors, ids, signs, scalars, 5, 10.0))
+    exact = obs.cosines(others, query)
+    assert len(found) == 1 and found[0][1].tolist() == (100 + np.argsort(-exact)[:5]).tolist()
+    few = list(obs.search_block(query[None], np.array([50]), obs.unit(query[None]) @ turn, vectors[:12], ids[:12], signs[:12], scalars[:12], 5, 1.9))
+    assert sorted(few[0][1].tolist()) == [100, 101]
