@@ -4,12 +4,14 @@
    whole text blocks. A token's *occurrence vector* lists how often each page of its host has it.
 2. Tokens with equal vectors form an *equivalence class*. Vectors aren't gathered: a vector is known by the sum of
    its entries times a hash of the page, which partial sums add up, so a hot host is summed by all tasks.
-3. A class is *valid* if it is found on ``SUPPORT`` of the host's pages, equally often on each, and holds
+3. Pages of a host with equal contents count once. A class is *valid* if it is found on ``SUPPORT`` of them,
+   equally often on each, and holds
    more than one token. The elements of valid classes nest along their paths into the template. Repeated text
    blocks of valid classes (notices, copyright lines) are template too, unless the main slot is an article.
 4. What lies between template elements are *slots*. The main slot is the template element with the most text that
    isn't link text, summed over the host, outside elements that are never main text.
-5. A page's text is the blocks of the main slot, without nested elements that are never main text.
+5. A page's text is the blocks of the main slot, without nested elements that are never main text. A page whose
+   main slot holds nothing but repeated text keeps it.
 
 A host of few pages has no vectors to speak of; there all elements but text blocks count as template.
 """
@@ -286,9 +288,10 @@ def main_slot(elements: list[tuple[str, int]]) -> str | None:
 def main_text(page: Page, slot: str | None, texts: set[str]) -> str:
     """Blocks of the main slot, without what is never main text and without repeated text of the template.
 
-    A page without the slot gives all its text outside elements that are never main text.
+    A slot of repeated text alone is kept as it is. A page without the slot gives all its text outside elements that
+    are never main text.
     """
-    def blocks(inside: str | None):
+    def blocks(inside: str | None, texts: set[str]):
         for number, text, _ in page.blocks:
             path, off = page.paths[number]
             place = "/".join(path)
@@ -300,24 +303,32 @@ def main_text(page: Page, slot: str | None, texts: set[str]) -> str:
                     continue
             yield text
 
-    found = list(blocks(slot)) if slot else []
+    found = (list(blocks(slot, texts)) or list(blocks(slot, set()))) if slot else []
     if not found:
         own = {"/".join(p[:i + 1]) for p, off in page.paths if not off for i in range(len(p))
                if p[i].split(".")[0] in MAIN}
-        found = list(blocks(min(own, key=len) if own else None))
+        found = list(blocks(min(own, key=len) if own else None, texts))
     return "\n".join(found)
 
 
+def distinct_pages(rows: DataFrame) -> DataFrame:
+    """host, page_key, html: the pages of each host with different html. Only html that is repeated is moved."""
+    hashed = rows.select("host", F.xxhash64("html").alias("page_key"), "html")
+    again = materialize(hashed.groupBy("host", "page_key").count().where("count > 1").drop("count"), "repeated")
+    alone = hashed.join(again, ["host", "page_key"], "left_anti")
+    once = hashed.join(again, ["host", "page_key"], "left_semi").dropDuplicates(["host", "page_key"])
+    return alone.unionByName(once)
+
+
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     NULL and empty pages, and pages without main text, give an empty text. Pages without a host (no or odd URL)
-    are a host of their own. Repeated rows are pages of their own; other columns aren't looked at; an empty
+    are a host of their own. Repeated rows are rows of their own, but count once for the template; other columns aren't looked at; an empty
     table gives an empty result. Texts are whole, however long.
     """
     rows = pages.select(F.col("page_id"), "url", "html", host_of("url").alias("host"))
-    keyed = rows.select("host", F.xxhash64("page_id", "url", "html").alias("page_key"), "html")
-    found = materialize(templates(keyed, support), "templates")
+    found = materialize(templates(distinct_pages(rows), support), "templates")
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "host", "elements", "texts")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

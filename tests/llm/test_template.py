@@ -54,3 +54,20 @@ def test_pages_in_parts_and_long_texts():
 @pytest.mark.parametrize("name", ["<article><header><h1>T</h1></header><p>b</p></article>", "<main><p>T</p><div class='post-comments'>c</div><p>b</p></main>"])
 def test_titles_stay_and_comments_go(name):
     assert template.main_text(template.Page(name), None, set()) == "T\nb"
+
+
+def extracted(spark, sources):
+    rows = [(n, f"http://divs.example/{n}", source) for n, source in enumerate(sources)]
+    got = template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    def source(n):
+        return f"<body><div class=top><div>Site</div></div><div class=post><p>One of {n} here.</p><p>Two of {n} here.</p></div></body>"
+
+    got = extracted(spark, [source("a")] * 8 + [source("b"), source("c")])
+    assert got == [f"One of {n} here.\nTwo of {n} here." for n in "aaaaaaaabc"]
+    page = template.Page(source("a"))
+    tokens = {f"{template.xxhash.xxh64_intdigest(t.encode()):016x}" for kind, t, *_ in template.page_tokens(page) if kind == "text"}
+    assert template.main_text(page, "body/div.post", tokens) == got[0]
