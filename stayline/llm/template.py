@@ -191,7 +191,7 @@ def page_tokens(page: Page) -> Iterator[tuple[str, str, int, int]]:
         path, off = page.paths[number]
         if not off:
             chars[element_of(path)] += max(0, len(text) - links)
-        texts["/".join(element_of(path)) + "\n" + text[:200]] += 1
+        texts["/".join(element_of(path)) + "\n" + text] += 1
     for path, n in page.count.items():
         if element_of(path) == path:
             yield "element", "/".join(path), n, chars.get(path, 0)
@@ -298,7 +298,7 @@ def main_text(page: Page, slot: str | None, texts: set[str]) -> str:
             if off or inside is not None and place != inside and not place.startswith(inside + "/"):
                 continue
             if inside is None or inside.split("/")[-1].split(".")[0] not in MAIN:
-                token = "/".join(element_of(path)) + "\n" + text[:200]
+                token = "/".join(element_of(path)) + "\n" + text
                 if f"{xxhash.xxh64_intdigest(token.encode('utf-8', 'surrogatepass')):016x}" in texts:
                     continue
             yield text

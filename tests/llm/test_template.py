@@ -71,3 +71,11 @@ def test_copies_of_a_page_keep_their_text(spark):
     page = template.Page(source("a"))
     tokens = {f"{template.xxhash.xxh64_intdigest(t.encode()):016x}" for kind, t, *_ in template.page_tokens(page) if kind == "text"}
     assert template.main_text(page, "body/div.post", tokens) == got[0]
+
+
+def test_blocks_that_begin_alike_differ(spark):
+    start = "The same opening words of every record. " * 8
+    blocks = [[f"{start}{x} {n}." for x in ("First", "Second")] for n in range(5)]
+    got = extracted(spark, ["<body><div class=top><div>Site</div></div><div class=post>" + "".join(f"<p>{b}</p>" for b in two) + "</div></body>"
+                            for two in blocks])
+    assert got == ["\n".join(two) for two in blocks]
