@@ -9,7 +9,8 @@
    more than one token. The elements of valid classes nest along their paths into the template. Repeated text
    blocks of valid classes (notices, copyright lines) are template too, unless the main slot is an article.
 4. What lies between template elements are *slots*. The main slot is the template element with the most text that
-   isn't link text, summed over the host, outside elements that are never main text.
+   isn't link text, summed over the host, outside elements that are never main text. Text of elements that aren't
+   template belongs to the nearest template element around them.
 5. A page's text is the blocks of the main slot, without nested elements that are never main text. A page whose
    main slot holds nothing but repeated text keeps it.
 
@@ -257,11 +258,24 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
                | ~few & (F.col("n_pages") >= support * F.col("size")) & (F.col("least") == F.col("most"))
                & (F.col("members") > 1))
     )
+    valid = materialize(valid.select("host", "kind", "token", "size"), "valid")
+    held = slot_chars(tokens.where("kind = 'element' AND chars > 0"), valid.where("kind = 'element'"))
+    valid = valid.join(held, ["host", "kind", "token"], "left").withColumn("chars", F.coalesce("chars", F.lit(0).cast("long")))
     element = F.when(F.col("kind") == "element", F.struct("token", "chars"))
     text = F.when((F.col("kind") == "text") & ~few, F.col("token"))
     return valid.groupBy("host").agg(F.collect_list(element).alias("elements"), F.collect_list(text).alias("texts"))
 
 
+def slot_chars(elements: DataFrame, valid: DataFrame) -> DataFrame:
+    """host, kind, token, chars: the text of ``elements``, summed by the nearest ``valid`` element on their paths."""
+    parts = F.split("token", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    around = elements.select("host", "kind", F.col("token").alias("own"), "chars", F.explode(above).alias("token"))
+    nearest = around.join(valid.select("host", "kind", "token"), ["host", "kind", "token"]).groupBy(
+        "host", "kind", "own").agg(F.max_by("token", F.length("token")).alias("token"), F.max("chars").alias("chars"))
+    return nearest.groupBy("host", "kind", "token").agg(F.sum("chars").alias("chars"))
+
+
 def main_slot(elements: list[tuple[str, int]]) -> str | None:
     """The template element that holds the main text, by the text of the slots inside each."""
     best, most = None, 0

@@ -79,3 +79,12 @@ def test_blocks_that_begin_alike_differ(spark):
     got = extracted(spark, ["<body><div class=top><div>Site</div></div><div class=post>" + "".join(f"<p>{b}</p>" for b in two) + "</div></body>"
                             for two in blocks])
     assert got == ["\n".join(two) for two in blocks]
+
+
+def test_text_of_a_varying_number_of_elements_counts(spark):
+    def inner(n):
+        return [f"Part {k} of article {n} with a number of words." for k in range(n + 2)]
+
+    got = extracted(spark, [f"<body><div class=byline>By {n}</div><div class=post>" + "".join(f"<div>{b}</div>" for b in inner(n))
+                            + "</div></body>" for n in range(5)])
+    assert got == ["\n".join(inner(n)) for n in range(5)]
