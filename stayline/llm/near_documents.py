@@ -6,7 +6,7 @@ Two documents are near duplicates if the Jaccard similarity of their sets of fiv
 1. *Candidates*: sets that share a Jaccard similarity ``J`` have a cosine of about ``2 J / (1 + J)``, so the
    fingerprints of the sets differ in ``acos(cosine) / pi`` of the bits: 39 of 256 at 0.8, with a spread of 6.
    ``RADIUS`` 58 is three spreads above. No two blocks of so many differing bits need be equal, so shards take random
-   choices of bits, ``KEYS`` keys of ``WIDTH`` bits, worked off in ``ROUNDS`` rounds. By this model 99.8 % of the
+   choices of bits, ``KEYS`` keys of ``WIDTH`` bits, worked off in ``ROUNDS`` rounds. By this model 99.0 % of the
    pairs at exactly 0.8 become candidates, and more above; what is lost is lost here, nowhere else.
 2. *Verification*: the sets of linked candidates are compared exactly, inside each component of candidates. First
    all nodes are compared with ``STARS`` hubs, one after the other. Nodes that this leaves outside the largest
