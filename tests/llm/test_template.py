@@ -75,7 +75,7 @@ def test_copies_of_a_page_keep_their_text(spark):
 
 def test_blocks_that_begin_alike_differ(spark):
     start = "The same opening words of every record. " * 8
-    blocks = [[f"{start}{x} {n}." for x in ("First", "Second")] for n in range(5)]
+    blocks = [[f"{start}Record {n}.", f"{n} has words of its own."] for n in range(5)]
     got = extracted(spark, ["<body><div class=top><div>Site</div></div><div class=post>" + "".join(f"<p>{b}</p>" for b in two) + "</div></body>"
                             for two in blocks])
     assert got == ["\n".join(two) for two in blocks]
