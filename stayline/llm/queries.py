@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
-    binary_ids, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash, template,
-    token_counts,
+    binary_ids, collocations, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash,
+    template, token_counts,
 )
 from stayline.llm.common import table
 
@@ -55,10 +55,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (op1_main_text, op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id,
-                op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination)
+                op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination, op11_collocations)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
@@ -107,4 +111,50 @@ ORACLE: dict[str, str] = {
                CASE WHEN d.text IS NOT NULL THEN coalesce(j.text, '') END AS text
         FROM documents d LEFT JOIN total t ON d.doc_id = t.doc_id LEFT JOIN joined j ON d.doc_id = j.doc_id
     """,
+    "op11_collocations": """
+        WITH piece AS (
+            SELECT row, lang, unnest(range(len(ps))) AS pno, unnest(ps) AS piece FROM (
+                SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                       string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents)
+        ),
+        word AS (
+            SELECT row, lang, pno, unnest(ws) AS w, unnest(range(len(ws))) AS wno FROM (
+                SELECT row, lang, pno, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM piece)
+        ),
+        seq AS (
+            SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3
+            FROM word WINDOW o AS (PARTITION BY row, pno ORDER BY wno)
+        ),
+        one AS (SELECT lang, w1 AS w, count(*) AS f FROM seq GROUP BY ALL),
+        two AS (SELECT lang, w1, w2, count(*) AS f FROM seq WHERE w2 IS NOT NULL GROUP BY ALL),
+        three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM seq WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        size AS (SELECT lang, count(*) AS n FROM seq GROUP BY lang),
+        longer AS (
+            SELECT lang, w1, w2, max(f) AS f FROM (
+                SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+        ),
+        cut AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+            FROM two t JOIN one x ON x.lang = t.lang AND x.w = t.w1 JOIN one y ON y.lang = t.lang AND y.w = t.w2
+            LEFT JOIN longer g ON g.lang = t.lang AND g.w1 = t.w1 AND g.w2 = t.w2
+            WHERE t.f >= 10 AND 100 * coalesce(g.f, 0) < 50 * t.f
+            UNION ALL
+            SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 1, x.f, y.f
+            FROM three t JOIN one x ON x.lang = t.lang AND x.w = t.w1
+            JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 2, x.f, y.f
+            FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+            JOIN one y ON y.lang = t.lang AND y.w = t.w3
+        ),
+        scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut),
+        lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM lowest
+        )
+        SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN size s ON s.lang = r.lang WHERE rank <= 2000
+    """,
 }
