@@ -6,7 +6,7 @@ for a second word without a usable one after it. A pair's count is the sum of th
 with one equal arc are one state, so the automaton is no tree.
 
 1. Words are counted per language. Phrases of candidates hold only words with ``least`` occurrences; a bitmap of fixed
-   size (``BITMAP_BITS``) tells tasks which words may have them. It errs only towards more.
+   size (``lexicon.BITMAP_BITS``) tells tasks which words may have them. It errs only towards more.
 2. Each task cuts its texts into shards of ``SHARD_TOKENS`` words. The sorted phrases of a shard are built level by level into
    transducers, one per *prefix range*: a range of the codes (hashes) of language, first and second word.
 3. Transducers of a range are united: symbol tables are merged, equal paths add their weights. A range holds about
@@ -17,23 +17,19 @@ with one equal arc are one state, so the automaton is no tree.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.llm.common import materialize, small_batches, utf8
+from stayline.llm.lexicon import code, is_set, word_bitmap, word_counts
 
 LEAST, LONGER_SHARE, TOP = 10, 50, 2000
 SHARD_TOKENS = 2_000_000
 RANGE_TOKENS = 2_000_000
-BITMAP_BITS = 1 << 27
-BLOCK_BITS = 1 << 16
-FLUSH = 400_000
 UNKNOWN = "und"
 
 BREAK = b"."
@@ -45,11 +41,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return utf8(text).lower().translate(_SEPARATORS).replace(BREAK, b" . ").split()
 
 
-def code(lang: str, word: bytes) -> int:
-    """What Spark's xxhash64(lang, word) gives, unsigned."""
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(utf8(lang), 42))
-
-
 def ranges_of(first: np.ndarray, second: np.ndarray, ranges: int) -> np.ndarray:
     """Number of the prefix range of pairs, given the codes of both words."""
     mixed = (first ^ (second >> np.uint64(31)) ^ (second << np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +58,10 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(weights[order], first)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return [w for w in tokens_of(text) if w != BREAK]
+
+
 class CountTransducer:
     """Phrases with counts; labels are places in ``symbols``, a list of (lang, word). Label -1 is the empty third word."""
 
@@ -171,56 +166,6 @@ class CountTransducer:
                       for n in cls.ARRAYS})
 
 
-def word_counts(texts: DataFrame, flush: int = FLUSH) -> DataFrame:
-    """lang, word (binary), n of all words in ``texts`` (lang, text)."""
-    names = ["lang", "word", "n"]
-
-    def rows(totals: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, words in totals.items():
-            words.pop(BREAK, None)
-            keys = list(words)
-            for at in range(0, len(keys), 50_000):
-                some = keys[at:at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()),
-                     pa.array([words[k] for k in some], pa.int64())], names=names)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, Counter] = {}
-        for batch in batches:
-            for part in small_batches(batch):
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    totals.setdefault(lang, Counter()).update(tokens_of(text))
-                    if sum(map(len, totals.values())) > flush:
-                        yield from rows(totals)
-                        totals = {}
-        yield from rows(totals)
-
-    return texts.select("lang", "text").mapInArrow(task, "lang string, word binary, n long").groupBy(
-        "lang", "word").agg(F.sum("n").alias("n"))
-
-
-def word_bitmap(words: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """One bit per code of ``words`` (lang, word): ``bits`` / 8 bytes, packed by tasks and only then collected."""
-    width = min(BLOCK_BITS, bits)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at in batch.column(0).to_pylist():
-                held.setdefault(at // width, np.zeros(width // 8, np.uint8))[at % width // 8] |= 1 << at % 8
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())],
-            names=["block", "bits"])
-
-    at = words.select(F.pmod(F.xxhash64("lang", "word"), F.lit(bits)).alias("at"))
-    packed = at.repartition((F.col("at") / width).cast("long")).mapInArrow(task, "block long, bits binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for block, some in packed.toLocalIterator():
-        bitmap[block * (width // 8):(block + 1) * (width // 8)] |= np.frombuffer(some, np.uint8)
-    return bitmap
-
-
 class Shard:
     """Words of texts gathered until there are enough to build transducers from."""
 
@@ -266,8 +211,7 @@ class Places(dict):
 
     def __missing__(self, word: bytes) -> int:
         own, shard = code(self.lang, word), self.shard
-        bit = own % (len(shard.bitmap) * 8)
-        if not shard.bitmap[bit >> 3] >> (bit & 7) & 1:
+        if not is_set(shard.bitmap, own):
             self[word] = -1
             return -1
         self[word] = len(shard.symbols)
@@ -420,7 +364,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longer_share: int = LONGER
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    words = materialize(word_counts(texts), "words")
+    words = materialize(word_counts(texts, words_of), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     ranges = max(4 * spark.sparkContext.defaultParallelism, -(-total // range_tokens))
     usable = words.where(F.col("n") >= least)

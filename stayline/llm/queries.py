@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
-    binary_ids, collocations, cross_parse, decontamination, line_dedup, maxent, mixing, one_bit_search, simhash,
-    template, token_counts,
+    binary_ids, collocations, cross_parse, decontamination, divergence, line_dedup, maxent, mixing, one_bit_search,
+    simhash, template, token_counts,
 )
 from stayline.llm.common import table
 
@@ -59,10 +59,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (op1_main_text, op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id,
-                op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination, op11_collocations)
+                op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination, op11_collocations,
+                op12_divergence)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
@@ -157,4 +162,44 @@ ORACLE: dict[str, str] = {
         )
         SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN size s ON s.lang = r.lang WHERE rank <= 2000
     """,
+    "op12_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+        ),
+        word AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM word GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        seen AS (SELECT lang, source, term, count(*) AS c FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        total AS (SELECT lang, source, sum(c) AS n FROM seen GROUP BY ALL),
+        part AS (
+            SELECT g.lang, g.source, k.term, s.c,
+                   1 + (CAST(1000000000 AS HUGEINT) * (coalesce(s.c, 0) + 5)) // (coalesce(t.n, 0) + 5 * z.v) AS p
+            FROM grp g JOIN kept k ON k.lang = g.lang JOIN size z ON z.lang = g.lang
+            LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source
+            LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+        ),
+        usual AS (
+            SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 5)) // (max(n) + 5 * max(v)) AS q
+            FROM seen JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY lang) USING (lang) JOIN size USING (lang) GROUP BY ALL
+        ),
+        pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+            FROM grp a JOIN grp b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN part x ON x.lang = a.lang AND x.source = a.source
+            LEFT JOIN part y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term
+            GROUP BY a.lang, a.source, b.source
+        ),
+        term AS (
+            SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p.p - u.q AS BIGINT) AS value
+            FROM part p JOIN usual u ON u.lang = p.lang AND u.term = p.term WHERE p.c > 0 AND p.p > u.q
+        ),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+            FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
