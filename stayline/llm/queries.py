@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm import (
     binary_ids, collocations, cross_parse, decontamination, divergence, line_dedup, maxent, mixing, one_bit_search,
-    simhash, template, token_counts,
+    quality, simhash, template, token_counts,
 )
 from stayline.llm.common import table
 
@@ -63,11 +63,15 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (op1_main_text, op2_mixing, op3_maxent, op4_line_dedup, op5_token_counts, op6_language_id,
                 op7_nearest, op8_simhash, op9_binary_ids, op10_decontamination, op11_collocations,
-                op12_divergence)
+                op12_divergence, op13_quality)
 }
 
 #: SQL twins of the queries above, for another engine; the others are tested against brute force.
