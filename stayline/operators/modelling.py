@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions import arrays
+from stayline.operators.boosting import BoostedTrees, Settings, boost
 from stayline.schema import MODEL_FEATURES
 from stayline.session import materialize
 
-# Settings of the tabular model.
-ROUNDS = 600
-PATIENCE = 50
-DEPTH = 4
-RATE = 0.03
-SUBSAMPLE = 0.8
-SEED = 42
-
 
 def class_weight(train: DataFrame, label: str = "label") -> DataFrame:
     """One row: positives, negatives and the weight of a positive, negatives / positives (1 without any)."""
@@ -39,104 +27,29 @@ def with_weights(df: DataFrame, weight: DataFrame, label: str = "label") -> Data
     return df.withColumn("weight", F.when(F.col(label) == 1, ratio).otherwise(1.0))
 
 
-def fit_tabular(split: DataFrame, features: list[str] = MODEL_FEATURES, rounds: int = ROUNDS,
-                depth: int = DEPTH, patience: int = PATIENCE) -> PipelineModel:
+def fit_tabular(split: DataFrame, features: list[str] = MODEL_FEATURES, settings: Settings = Settings()) -> BoostedTrees:
     """Gradient-boosted trees on the train rows, with as many rounds as give the best AUC on the val rows.
 
-    Boosting ends once ``patience`` rounds brought no better AUC. Spark can't go on with a fitted model, so the
-    number of rounds is doubled from twice ``patience`` until the best round lies far enough back, and the model is then
-    fitted with that many; for one seed the first trees of a longer fit are those of a shorter one. Without val rows
-    of both classes all ``rounds`` are fitted. ``split`` holds filled features, ``label`` and ``split``; its rows
-    are written out once, because boosting reads them in every round.
+    ``split`` holds filled features, ``label`` and ``split``, and ``encounter_id``, by which each tree's rows are drawn.
     """
     train = split.where(F.col("split") == "train")
-    rows = with_weights(split.where(F.col("split") != "test"), class_weight(train)).select(
-        *[F.col(c).cast("double").alias(c) for c in features], F.col("label").cast("double").alias("label"),
-        "weight", (F.col("split") == "val").alias("held_out"),
-    )
-    assembler = VectorAssembler(inputCols=list(features), outputCol="vector")
-    vectors = materialize(assembler.transform(rows).select("vector", "label", "weight", "held_out"), "training-rows")
-    learned, held_out = vectors.where(~F.col("held_out")), vectors.where("held_out")
-
-    def fitted(n: int) -> GBTClassificationModel:
-        return GBTClassifier(
-            featuresCol="vector", labelCol="label", weightCol="weight", maxIter=n, maxDepth=depth, stepSize=RATE,
-            subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(SUBSAMPLE), seed=SEED,
-        ).fit(learned)
-
-    n = min(rounds, 2 * patience)
-    while True:
-        model = fitted(n)
-        best, ended = best_round(staged_auc(model, held_out), patience)
-        if ended or n >= rounds:
-            break
-        n = min(rounds, 2 * n)
-    if 0 < best < n:
-        model = fitted(best)
-    return PipelineModel(stages=[assembler, model])
-
-
-def best_round(aucs: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """The round (from 1) with the best AUC before ``patience`` rounds without a better one, and whether those passed."""
-    best = 0
-    for i, auc in enumerate(aucs, 1):
-        if best == 0 or auc > aucs[best - 1]:
-            best = i
-        elif i - best >= patience:
-            return best, True
-    return best, False
-
-
-def staged_auc(model: GBTClassificationModel, rows: DataFrame, bins: int = 2000) -> list[float]:
-    """AUC on ``rows`` (vector, label) after each round; empty without both classes.
-
-    Probabilities are counted in ``bins`` of equal width, ties within a bin as one half, so the driver sees at most
-    rounds times bins counts whatever the number of rows.
-    """
-    scored, weights = rows, np.array(model.treeWeights)
-    names = [f"_tree{i}" for i in range(len(weights))]
-    for name, tree in zip(names, model.trees):
-        scored = tree.setFeaturesCol("vector").setPredictionCol(name).transform(scored)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, len(weights), bins), np.int64)
-        for batch in batches:
-            values = np.stack([batch.column(i + 1).to_numpy() for i in range(len(weights))]) * weights[:, None]
-            place = np.minimum((bins / (1 + np.exp(-2 * values.cumsum(0)))).astype(np.int64), bins - 1)
-            positive = batch.column(0).to_numpy() == 1
-            for k, chosen in enumerate((~positive, positive)):
-                for i in range(len(weights)):
-                    totals[k, i] += np.bincount(place[i, chosen], minlength=bins)
-        stage, where = np.nonzero(totals.sum(0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(stage), pa.array(where), pa.array(totals[0, stage, where]), pa.array(totals[1, stage, where])],
-            names=["stage", "bin", "neg", "pos"])
-
-    counted = scored.select("label", *names).mapInArrow(count, "stage long, bin long, neg long, pos long")
-    table = np.zeros((2, len(weights), bins))
-    for stage, where, neg, pos in counted.groupBy("stage", "bin").agg(F.sum("neg"), F.sum("pos")).collect():
-        table[:, stage, where] = neg, pos
-    neg, pos = table
-    pairs = neg.sum(1) * pos.sum(1)
-    if not len(weights) or not pairs.all():
-        return []
-    return (((neg.cumsum(1) - neg / 2) * pos).sum(1) / pairs).tolist()
+    rows = with_weights(split.where(F.col("split") != "test"), class_weight(train)).withColumn(
+        "held_out", F.col("split") == "val")
+    return boost(rows, list(features), settings, [F.col("encounter_id")])
 
 
 def positive_probability(probability: Column) -> Column:
     return vector_to_array(probability)[1]
 
 
-def score_tabular(model: PipelineModel, rows: DataFrame, output: str = "xgb_score") -> DataFrame:
+def score_tabular(model: BoostedTrees, rows: DataFrame, output: str = "xgb_score") -> DataFrame:
     """Add the probability of readmission."""
-    scored = model.transform(rows).withColumn(output, positive_probability(F.col("probability")))
-    return scored.drop("vector", "rawPrediction", "probability", "prediction")
+    return model.score(rows, output)
 
 
-def feature_importances(spark: SparkSession, model: PipelineModel, features: list[str] = MODEL_FEATURES) -> DataFrame:
+def feature_importances(spark: SparkSession, model: BoostedTrees) -> DataFrame:
     """(feature, importance), most important first."""
-    pairs = [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
-    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
+    return spark.createDataFrame(model.importances(), "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature"
     )
 

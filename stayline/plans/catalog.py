@@ -16,6 +16,7 @@ from stayline.operators import (
     cohort, features, fusion, loading, metrics, modelling, quality, reports, scoring,
 )
 from stayline.operators import sequences as seq
+from stayline.operators.boosting import Settings
 from stayline.operators.split import chronological_split, key_split, split_summary
 from stayline.plans import ingest, testdata, training
 from stayline.plans import scoring as scoring_job
@@ -584,6 +585,19 @@ def feature_importances(spark, sf_dir):
         F.count_if(F.col("before") < F.col("importance")).alias("out_of_order"))
 
 
+@query
+def boosted_signal(spark, sf_dir):
+    """A model of a label that follows the length of stay, a fifth of the rows at random: its first feature, the split
+    rows, and whether its test AUC is near the best that any score can have (0.9) and far above that of a constant."""
+    rows = training_rows(spark, sf_dir)
+    draw = F.pmod(F.col("encounter_id") * 7919, F.lit(1000))
+    label = F.when(draw < 200, draw % 2).otherwise((F.col("length_of_stay") > 8.0).cast("int"))
+    own = training.train_tabular(rows.withColumn("label", label.cast("int")), Settings(rounds=20, patience=5))
+    return _scored_splits(own.scored).withColumns({
+        "first": F.lit(own.bundle.model.importances() and max(own.bundle.model.importances(), key=lambda f: f[1])[0]),
+        "good": F.lit(own.bundle.test_auc).between(0.85, 0.95)})
+
+
 @query
 def sequence_model_scores(spark, sf_dir):
     return _scored_splits(training.train_sequences(sequence_table(spark, sf_dir)).scored)

@@ -644,6 +644,9 @@ ORACLE: dict[str, str] = {
                COUNT(*) AS rows, CAST(0 AS BIGINT) AS changed FROM encounter GROUP BY 1"""),
     "tabular_model_scores": _sql(
         "placed", "SELECT split, COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability FROM placed GROUP BY split"),
+    "boosted_signal": _sql("placed", """
+        SELECT split, COUNT(*) AS rows, CAST(0 AS BIGINT) AS no_probability, 'length_of_stay' AS first, TRUE AS good
+        FROM placed GROUP BY split"""),
     "feature_importances": (
         f"SELECT CAST({len(MODEL_FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, "
         "CAST(0 AS BIGINT) AS out_of_order"),

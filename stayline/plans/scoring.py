@@ -44,5 +44,5 @@ def evaluation(spark: SparkSession, trained: Trained) -> dict[str, DataFrame]:
         "confusion_matrix": metrics.confusion_matrix(test),
         "baseline": metrics.baseline_comparison(test),
         "overfit": metrics.overfit_check(trained.train_metrics, trained.test_metrics),
-        "importances": modelling.feature_importances(spark, trained.bundle.model, trained.bundle.feature_cols),
+        "importances": modelling.feature_importances(spark, trained.bundle.model),
     }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from stayline.operators import metrics
 from stayline.operators import sequences as seq
+from stayline.operators.boosting import Settings
 from stayline.operators.features import fill_from, training_medians
-from stayline.operators.modelling import ROUNDS, fit_sequences, fit_tabular, score_sequences, score_tabular
+from stayline.operators.modelling import fit_sequences, fit_tabular, score_sequences, score_tabular
 from stayline.operators.split import chronological_split, key_split
 from stayline.schema import MODEL_FEATURES, SEQUENCE_VITALS
 from stayline.session import materialize
@@ -38,9 +39,9 @@ def prepare_training(training: DataFrame, train_only: bool = False) -> DataFrame
     return fill_from(split, training_medians(split.where(in_train())), where=in_train() if train_only else None)
 
 
-def train_tabular(training: DataFrame, rounds: int = ROUNDS, train_only: bool = False) -> Trained:
+def train_tabular(training: DataFrame, settings: Settings = Settings(), train_only: bool = False) -> Trained:
     prepared = materialize(prepare_training(training, train_only), "prepared-training-set")
-    model = fit_tabular(prepared, rounds=rounds)
+    model = fit_tabular(prepared, settings=settings)
     scored = score_tabular(model, prepared, "score").select("encounter_id", "score", "label", "split")
     return _evaluated(Bundle(model, "xgb_mimic_v1", MODEL_FEATURES), scored)
 

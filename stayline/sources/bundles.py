@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from stayline.operators.boosting import BoostedTrees
 from stayline.schema import SEQUENCE_HOURS
 
 METADATA = "version string, feature_cols array<string>, seq_length int, test_auc double, test_prauc double"
@@ -16,7 +17,7 @@ METADATA = "version string, feature_cols array<string>, seq_length int, test_auc
 class Bundle:
     """A fitted model, the columns it reads, and its test metrics; a sequence model also has its scaler."""
 
-    model: PipelineModel
+    model: PipelineModel | BoostedTrees
     version: str
     feature_cols: list[str]
     test_auc: float | None = None
@@ -25,7 +26,10 @@ class Bundle:
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    bundle.model.write().overwrite().save(f"{path}/model")
+    if isinstance(bundle.model, BoostedTrees):
+        bundle.model.save(spark, f"{path}/model")
+    else:
+        bundle.model.write().overwrite().save(f"{path}/model")
     row = (bundle.version, bundle.feature_cols, SEQUENCE_HOURS, bundle.test_auc, bundle.test_prauc)
     spark.createDataFrame([row], METADATA).write.mode("overwrite").parquet(f"{path}/metadata")
     if bundle.scaler is not None:
@@ -38,7 +42,9 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle | None:
         return None
     meta = spark.read.parquet(f"{path}/metadata").first()
     scaler = spark.read.parquet(f"{path}/scaler") if _exists(spark, f"{path}/scaler") else None
-    return Bundle(PipelineModel.load(f"{path}/model"), meta["version"], list(meta["feature_cols"]),
+    boosted = _exists(spark, f"{path}/model/trees")
+    model = BoostedTrees.load(spark, f"{path}/model") if boosted else PipelineModel.load(f"{path}/model")
+    return Bundle(model, meta["version"], list(meta["feature_cols"]),
                   meta["test_auc"], meta["test_prauc"], scaler)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stayline.sources.records import read_records
+
 # The extracts of the source dataset and the columns in use.
 EXTRACTS: dict[str, tuple[str, list[str]]] = {
     "admissions": ("hosp", [
@@ -23,7 +25,7 @@ EXTRACTS: dict[str, tuple[str, list[str]]] = {
     ]),
 }
 
-#: Extracts of numbers only, whose records are single lines; their files are read in splits.
+#: Extracts of numbers only, whose records are single lines.
 ONE_LINE = {"chartevents"}
 
 
@@ -45,45 +47,10 @@ def find_extract(spark: SparkSession, root: str, name: str) -> str:
 def read_extract(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The columns in use that the extract has, as text.
 
-    Files of one extract may differ in column order and carry extra columns: files with the same header are read
-    together, and columns are matched by name. Quoted values may hold line breaks, but for those in ``ONE_LINE``;
-    such files are read by one task each.
+    Files of one extract may differ in column order and carry extra columns: columns are matched by name. Quoted values may
+    hold line breaks, but for those in ``ONE_LINE``. Files are read in splits, unless compressed with gzip.
     """
-    by_header: dict[str, list[str]] = {}
-    for file in list_files(spark, find_extract(spark, root, name)):
-        by_header.setdefault(first_line(spark, file), []).append(file)
-    wanted, parts = EXTRACTS[name][1], []
-    for header, files in by_header.items():
-        if header:
-            raw = spark.read.csv(files, header=True, escape='"', multiLine=name not in ONE_LINE)
-            parts.append(raw.select([c for c in wanted if c in raw.columns]))
-    if not parts:
-        raise ValueError(f"{name} has no file with a header in {root}")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole.select([c for c in wanted if c in whole.columns])
-
-
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """The data files at ``path``, a file or a folder."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop_path)
-    found = [f.getPath() for f in files if f.isFile()]
-    return sorted(f.toString() for f in found if f.getName()[0] not in "._")
-
-
-def first_line(spark: SparkSession, file: str) -> str:
-    """The header of a text file, compressed or not; only its first bytes are read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = hadoop_path.getFileSystem(conf).open(hadoop_path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop_path)
-        source = stream if codec is None else codec.createInputStream(stream)
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8")).readLine() or ""
-    finally:
-        stream.close()
+    return read_records(spark, find_extract(spark, root, name), EXTRACTS[name][1], name in ONE_LINE)
 
 
 def read_extracts(spark: SparkSession, root: str) -> dict[str, DataFrame]:

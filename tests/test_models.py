@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators import modelling, scoring
+from stayline.operators.boosting import Settings
 from stayline.plans import scoring as scoring_job
 from stayline.plans import training
 from stayline.schema import MODEL_FEATURES, SEQUENCE_VITALS
@@ -28,7 +29,7 @@ def planted(spark):
 
 @pytest.fixture(scope="module")
 def trained(planted):
-    return training.train_tabular(planted, rounds=60)
+    return training.train_tabular(planted, Settings(rounds=30))
 
 
 def test_tabular_model_finds_the_signal(trained):
@@ -40,29 +41,10 @@ def test_tabular_model_finds_the_signal(trained):
 
 
 def test_training_is_reproducible(planted, trained):
-    again = training.train_tabular(planted, rounds=60)
+    again = training.train_tabular(planted, Settings(rounds=30))
     assert again.bundle.test_auc == pytest.approx(trained.bundle.test_auc)
 
 
-def test_boosting_goes_on_while_it_helps(planted):
-    """Several features matter, so that one tree of a small step isn't the best model."""
-    parts = [(F.col(c) > 25).cast("int") for c in MODEL_FEATURES[:4]]
-    df = planted.withColumn("label", (parts[0] + parts[1] + parts[2] + parts[3] >= 3).cast("int"))
-    prepared = training.prepare_training(df)
-    model = modelling.fit_tabular(prepared, rounds=60, depth=2).stages[-1]
-    assert len(model.trees) > 30
-    held_out = prepared.where("split = 'test'")
-    vectors = modelling.VectorAssembler(inputCols=MODEL_FEATURES, outputCol="vector").transform(held_out)
-    aucs = modelling.staged_auc(model, vectors.select("vector", F.col("label").cast("double").alias("label")))
-    assert len(aucs) == len(model.trees) and aucs[-1] > aucs[0] + 0.02
-
-
-def test_best_round():
-    assert modelling.best_round([0.5, 0.7, 0.6, 0.69, 0.8], patience=2) == (2, True)
-    assert modelling.best_round([0.5, 0.7, 0.6, 0.71], patience=2) == (4, False)
-    assert modelling.best_round([], patience=2) == (0, False)
-
-
 def test_importances(spark, trained):
     top = modelling.feature_importances(spark, trained.bundle.model).collect()
     assert top[0]["feature"] == "num_prior_admissions" and sum(r["importance"] for r in top) == pytest.approx(1.0)
