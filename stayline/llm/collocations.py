@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import materialize, small_batches, utf8
 from stayline.llm.lexicon import code, is_set, word_bitmap, word_counts
+from stayline.llm.token_counts import head_of
 
 LEAST, LONGER_SHARE, TOP = 10, 50, 2000
+HEAD = 100_000  # commonest symbols, which are broadcast
 SHARD_TOKENS = 2_000_000
 RANGE_TOKENS = 2_000_000
 UNKNOWN = "und"
@@ -52,30 +54,31 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Distinct keys in order and the sums of their weights."""
     if not len(keys):
         return keys, weights
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(weights[order], first)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w for w in tokens_of(text) if w != BREAK]
+    return utf8(text).lower().translate(_SEPARATORS).replace(BREAK, b" ").split()
 
 
 class CountTransducer:
-    """Phrases with counts; labels are places in ``symbols``, a list of (lang, word). Label -1 is the empty third word."""
+    """Phrases with counts. Labels below ``HEAD`` are places in the list of the commonest symbols, which all transducers share;
+    the others, less ``HEAD``, are places in the transducer's own ``symbols``. Label -1 is the empty third word."""
 
-    SCHEMA = "langs array<string>, lang_of binary, words binary, firsts binary, ends binary, seconds binary, " \
-             "targets binary, state_ends binary, thirds binary, weights binary"
+    SCHEMA = "symbols binary, symbol_ends binary, firsts binary, ends binary, seconds binary, targets binary, " \
+             "state_ends binary, thirds binary, weights binary"
     ARRAYS = ("firsts", "ends", "seconds", "targets", "state_ends", "thirds", "weights")
 
-    def __init__(self, symbols: list[tuple[str, bytes]], **arrays: np.ndarray):
+    def __init__(self, symbols: pa.BinaryArray, **arrays: np.ndarray):
         self.symbols = symbols
         for name in self.ARRAYS:
             setattr(self, name, arrays[name])
 
     @classmethod
-    def build(cls, symbols: list, first: np.ndarray, second: np.ndarray, third: np.ndarray,
+    def build(cls, symbols: pa.BinaryArray, first: np.ndarray, second: np.ndarray, third: np.ndarray,
               weight: np.ndarray) -> CountTransducer:
         """From phrases in any order, repeats added up; level by level over the sorted phrases."""
         pair, at_pair = np.unique(first.astype(np.int64) << 32 | second, return_inverse=True)
@@ -113,13 +116,14 @@ class CountTransducer:
 
     @classmethod
     def union(cls, several: list[CountTransducer]) -> CountTransducer:
-        place: dict[tuple[str, bytes], int] = {}
-        found = []
+        known = pa.chunked_array([one.symbols for one in several]).combine_chunks().dictionary_encode()
+        found, at = [], 0
         for one in several:
-            to = np.fromiter((place.setdefault(s, len(place)) for s in one.symbols), np.int64, len(one.symbols))
-            first, second, third, weight = one.phrases()
-            found.append((to[first], to[second], np.where(third < 0, -1, to[third]), weight))
-        return cls.build(list(place), *[np.concatenate(c) for c in zip(*found, strict=True)])
+            to = known.indices.slice(at, len(one.symbols)).to_numpy().astype(np.int64)
+            at += len(to)
+            *labels, weight = one.phrases()
+            found.append((*[moved(x, to) for x in labels], weight))
+        return cls.build(known.dictionary, *[np.concatenate(c) for c in zip(*found, strict=True)])
 
     def compose(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Counts of the pairs that another transducer asks for, arc by arc; 0 where there is no path."""
@@ -143,35 +147,60 @@ class CountTransducer:
         first, second, third, weight = self.phrases()
         _, _, count = self.pairs()
         many = np.repeat(count >= least, np.diff(self.state_ends, prepend=0)[self.targets])
-        used = np.unique(np.concatenate([first[many], second[many], third[many & (third >= 0)]]))
-        to = np.full(len(self.symbols) + 1, -1)
-        to[used] = np.arange(len(used))
-        return CountTransducer.build([self.symbols[i] for i in used.tolist()], to[first[many]], to[second[many]],
-                                     to[third[many]], weight[many])
+        return CountTransducer.build(*with_used(self.symbols, first[many], second[many], third[many]), weight[many])
 
     def row(self) -> dict:
-        langs = sorted({lang for lang, _ in self.symbols})
-        at = {lang: i for i, lang in enumerate(langs)}
-        return dict(langs=langs, lang_of=np.array([at[lang] for lang, _ in self.symbols], np.int32).tobytes(),
-                    words=b"\n".join(word for _, word in self.symbols),
+        _, ends, data = pa.concat_arrays([self.symbols, pa.array([b""], pa.binary())]).slice(0, len(self.symbols)).buffers()
+        ends = np.frombuffer(ends, np.int32)[:len(self.symbols) + 1]
+        return dict(symbols=data.to_pybytes()[:ends[-1]] if data else b"", symbol_ends=ends.tobytes(),
                     **{n: getattr(self, n).astype(np.int64 if n == "weights" else np.int32).tobytes() for n in self.ARRAYS})
 
     @classmethod
     def of(cls, row: dict) -> CountTransducer:
-        """From what ``row`` gives; words hold no line feed."""
-        lang_of = np.frombuffer(row["lang_of"], np.int32).tolist()
-        words = row["words"].split(b"\n") if lang_of else []
-        return cls([(row["langs"][i], w) for i, w in zip(lang_of, words, strict=True)],
-                   **{n: np.frombuffer(row[n], np.int64 if n == "weights" else np.int32).astype(np.int64)
-                      for n in cls.ARRAYS})
+        """From what ``row`` gives."""
+        symbols = pa.BinaryArray.from_buffers(pa.binary(), len(row["symbol_ends"]) // 4 - 1, [
+            None, pa.py_buffer(row["symbol_ends"]), pa.py_buffer(row["symbols"])])
+        return cls(symbols, **{n: np.frombuffer(row[n], np.int64 if n == "weights" else np.int32).astype(np.int64)
+                               for n in cls.ARRAYS})
+
+    def with_words(self, head: list[bytes]) -> tuple[list[tuple[str, bytes]], CountTransducer]:
+        """Language and word of every symbol in use, and the same phrases with labels into that list."""
+        *labels, weight = self.phrases()
+        used, at = np.unique(np.concatenate(labels), return_inverse=True)
+        at = np.split(at.astype(np.int64) - int(len(used) > 0 and used[0] < 0), 3)
+        found = [head[i] if i < HEAD else self.symbols[i - HEAD].as_py() for i in used[used >= 0].tolist()]
+        words = [(lang.decode("utf-8", "surrogatepass"), word) for lang, word in (s.rsplit(b"\n", 1) for s in found)]
+        return words, CountTransducer.build(pa.array(found, pa.binary()), *at, weight)
+
+
+def moved(labels: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Labels whose own symbols have new places."""
+    own = labels >= HEAD
+    labels = labels.copy()
+    labels[own] = HEAD + to[labels[own] - HEAD]
+    return labels
+
+
+def with_used(symbols: pa.BinaryArray, *labels: np.ndarray) -> tuple:
+    """The own symbols in use, and labels that fit."""
+    every = np.concatenate(labels)
+    used = np.unique(every[every >= HEAD]) - HEAD
+    to = np.zeros(len(symbols), np.int64)
+    to[used] = np.arange(len(used))
+    return symbols.take(pa.array(used)), *[moved(x.astype(np.int64), to) for x in labels]
+
+
+def symbol(lang: str, word: bytes) -> bytes:
+    """One label for both; words hold no line feed."""
+    return utf8(lang) + b"\n" + word
 
 
 class Shard:
     """Words of texts gathered until there are enough to build transducers from."""
 
-    def __init__(self, bitmap: np.ndarray):
-        self.bitmap = bitmap
-        self.symbols: list[tuple[str, bytes]] = []
+    def __init__(self, bitmap: np.ndarray, head: dict[bytes, int], codes: np.ndarray):
+        self.bitmap, self.head, self.head_codes = bitmap, head, codes
+        self.symbols: list[bytes] = []
         self.codes: list[int] = []
         self.places: dict[str, Places] = {}
         self.parts: list[np.ndarray] = []
@@ -187,37 +216,43 @@ class Shard:
     def transducers(self, ranges: int) -> Iterator[tuple[int, CountTransducer]]:
         ids = np.concatenate(self.parts)
         pair = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        first, second = ids[pair].astype(np.int64), ids[pair + 1].astype(np.int64)
-        third = np.append(ids, -1)[pair + 2].astype(np.int64)
-        codes = np.array(self.codes, np.uint64)
+        first, second, third = ids[pair], ids[pair + 1], np.append(ids, -1)[pair + 2]
+        codes, symbols = np.concatenate([self.head_codes, np.array(self.codes, np.uint64)]), pa.array(self.symbols, pa.binary())
         place = ranges_of(codes[first], codes[second], ranges)
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.int16) if ranges < 1 << 15 else place, kind="stable")  # 16 bits: by radix
         edges = np.searchsorted(place[order], np.arange(ranges + 1))
         for number in np.flatnonzero(np.diff(edges)).tolist():
             some = order[edges[number]:edges[number + 1]]
-            used, labels = np.unique(np.concatenate([first[some], second[some], third[some]]), return_inverse=True)
-            labels = labels - (used[0] < 0)
-            used = used[used >= 0]
-            yield number, CountTransducer.build([self.symbols[i] for i in used.tolist()],
-                                                *np.split(labels.astype(np.int64), 3), np.ones(len(some), np.int64))
+            yield number, CountTransducer.build(*with_used(symbols, first[some], second[some], third[some]),
+                                                np.ones(len(some), np.int64))
 
 
 class Places(dict):
-    """word -> place in the shard's symbols; -1 for the break and for words that are too rare."""
+    """word -> label; -1 for the break and for words that are too rare."""
 
     def __init__(self, lang: str, shard: Shard):
         super().__init__({BREAK: -1})
         self.lang, self.shard = lang, shard
 
     def __missing__(self, word: bytes) -> int:
-        own, shard = code(self.lang, word), self.shard
-        if not is_set(shard.bitmap, own):
-            self[word] = -1
-            return -1
-        self[word] = len(shard.symbols)
-        shard.symbols.append((self.lang, word))
-        shard.codes.append(own)
-        return self[word]
+        shard, label = self.shard, symbol(self.lang, word)
+        place = shard.head.get(label)
+        if place is None:
+            own = code(self.lang, word)
+            if is_set(shard.bitmap, own):
+                place = HEAD + len(shard.symbols)
+                shard.symbols.append(label)
+                shard.codes.append(own)
+            else:
+                place = -1
+        self[word] = place
+        return place
+
+
+def commonest(words: DataFrame, size: int) -> list[bytes]:
+    """Up to ``size`` symbols of ``words`` (lang, word, n); HEAD at most, each of bounded length."""
+    found = words.select(F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), F.col("word")).alias("word"), "n")
+    return list(head_of(found, "n", min(size, HEAD)))
 
 
 def as_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -231,15 +266,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def phrase_counts(texts: DataFrame, bitmap: np.ndarray, ranges: int, least: int = LEAST,
+def phrase_counts(texts: DataFrame, bitmap: np.ndarray, head: list[bytes], ranges: int, least: int = LEAST,
                   shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per prefix range: the transducer of the pairs and triples in ``texts`` (lang, text) with ``least`` occurrences."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    codes = np.zeros(HEAD, np.uint64)
+    codes[:len(head)] = [code(lang.decode("utf-8", "surrogatepass"), word) for lang, word in (s.rsplit(b"\n", 1) for s in head)]
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap, {s: i for i, s in enumerate(head)}, codes))
     ddl = f"prefix_range int, {CountTransducer.SCHEMA}"
     schema = arrow_schema(ddl)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Shard(shared.value)
+        held = Shard(*shared.value)
         for batch in batches:
             for part in small_batches(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -247,7 +284,7 @@ def phrase_counts(texts: DataFrame, bitmap: np.ndarray, ranges: int, least: int
                     if held.n >= shard_tokens:
                         for number, one in held.transducers(ranges):
                             yield as_batch([one.row() | {"prefix_range": number}], schema)
-                        held = Shard(shared.value)
+                        held = Shard(*shared.value)
         if held.n:
             for number, one in held.transducers(ranges):
                 yield as_batch([one.row() | {"prefix_range": number}], schema)
@@ -263,28 +300,28 @@ def phrase_counts(texts: DataFrame, bitmap: np.ndarray, ranges: int, least: int
 CANDIDATE = "lang string, w1 binary, w2 binary, w3 binary, a long, f1 long, f_last long, f12 long, longer long, route int"
 
 
-def candidates(counts: DataFrame, words: DataFrame, ranges: int) -> DataFrame:
+def candidates(counts: DataFrame, words: DataFrame, head: list[bytes], ranges: int) -> DataFrame:
     """All phrases of ``counts`` with the counts of their first and last word, from the range's symbols and ``words``.
 
     ``f12`` is the count of a triple's first two words. ``longer`` is the count of a pair's commonest continuation.
     ``route`` is the range of the phrase's last two words as a prefix.
     """
-    schema = arrow_schema(CANDIDATE)
+    schema, shared = arrow_schema(CANDIDATE), counts.sparkSession.sparkContext.broadcast(head)
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = CountTransducer.of(row).symbols
+                found, _ = CountTransducer.of(row).with_words(shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["prefix_range"]] * len(found), pa.int32()), pa.array([s[0] for s in found], pa.string()),
                      pa.array([s[1] for s in found], pa.binary())], names=["prefix_range", "lang", "word"])
 
     def compose(transducers: pa.Table, known: pa.Table) -> pa.Table:
-        one = CountTransducer.of(transducers.to_pylist()[0])
+        labels, one = CountTransducer.of(transducers.to_pylist()[0]).with_words(shared.value)
         n = dict(zip(zip(known.column("lang").to_pylist(), known.column("word").to_pylist(), strict=True),
                      known.column("n").to_pylist(), strict=True))
-        own = np.fromiter((n[s] for s in one.symbols), np.int64, len(one.symbols))
-        codes = np.fromiter((code(*s) for s in one.symbols), np.uint64, len(one.symbols))
+        own = np.fromiter((n[s] for s in labels), np.int64, len(labels))
+        codes = np.fromiter((code(*s) for s in labels), np.uint64, len(labels))
         first, second, third, weight = one.phrases()
         triple = third >= 0
         first, second, third, weight = (x[triple] for x in (first, second, third, weight))
@@ -296,8 +333,7 @@ def candidates(counts: DataFrame, words: DataFrame, ranges: int) -> DataFrame:
         w1, w2 = np.concatenate([a, first]), np.concatenate([b, second])
         last = np.concatenate([b, third])
         before = np.concatenate([a, second])
-        langs = np.array([s[0] for s in one.symbols], object)
-        text = np.array([s[1] for s in one.symbols], object)
+        langs, text = (np.array([s[k] for s in labels], object) for k in (0, 1))
         none = np.zeros(len(a), np.int64)
         columns = dict(
             lang=langs[w1], w1=text[w1], w2=text[w2], w3=np.concatenate([np.full(len(a), None, object), text[third]]),
@@ -322,15 +358,15 @@ def with_last_parts(found: DataFrame) -> DataFrame:
     def compose(group: pa.Table) -> pa.Table:
         c = group.to_pydict()
         pair = np.array([w is None for w in c["w3"]])
-        place: dict = {}
+        place: dict[bytes, int] = {}
         n = len(pair)
-        before = np.fromiter((place.setdefault((lang, x if z is None else y), len(place))
+        before = np.fromiter((place.setdefault(symbol(lang, x if z is None else y), len(place))
                               for lang, x, y, z in zip(c["lang"], c["w1"], c["w2"], c["w3"], strict=True)), np.int64, n)
-        last = np.fromiter((place.setdefault((lang, y if z is None else z), len(place))
+        last = np.fromiter((place.setdefault(symbol(lang, y if z is None else z), len(place))
                             for lang, y, z in zip(c["lang"], c["w2"], c["w3"], strict=True)), np.int64, n)
         a = np.array(c["a"], np.int64)
         some = np.flatnonzero(pair)
-        counts = CountTransducer.build(list(place), before[some], last[some], np.full(len(some), -1), a[some])
+        counts = CountTransducer.build(pa.array(list(place), pa.binary()), before[some], last[some], np.full(len(some), -1), a[some])
         f23 = np.where(pair, 0, counts.compose(before, last))
         key = before << 32 | last
         keys, at = np.unique(key, return_inverse=True)
@@ -354,7 +390,7 @@ def score(a, left, right):
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longer_share: int = LONGER_SHARE, top: int = TOP,
-                 range_tokens: int = RANGE_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+                 range_tokens: int = RANGE_TOKENS, shard_tokens: int = SHARD_TOKENS, head: int = HEAD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases of two or three words in ``docs`` (text, lang).
 
     ``a``, ``l`` and ``r`` count the phrase and the parts of its lowest-scoring cut (ties: the earliest), ``n`` all words. Phrases
@@ -368,8 +404,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longer_share: int = LONGER
     total = words.agg(F.sum("n")).first()[0] or 0
     ranges = max(4 * spark.sparkContext.defaultParallelism, -(-total // range_tokens))
     usable = words.where(F.col("n") >= least)
-    counts = materialize(phrase_counts(texts, word_bitmap(usable), ranges, least, shard_tokens), "phrases")
-    found = with_last_parts(candidates(counts, words, ranges))
+    common = commonest(usable, head)
+    counts = materialize(phrase_counts(texts, word_bitmap(usable), common, ranges, least, shard_tokens), "phrases")
+    found = with_last_parts(candidates(counts, words, common, ranges))
     pair = F.col("w3").isNull()
     first_cut = score(F.col("a"), F.col("f1"), F.when(pair, F.col("f_last")).otherwise(F.col("f23")))
     second_cut = F.when(~pair, score(F.col("a"), F.col("f12"), F.col("f_last")))

@@ -40,7 +40,7 @@ def brute(rows, least, share=50, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_tokens": 150, "range_tokens": 40}, {"top": 5}])
+@pytest.mark.parametrize("how", [{}, {"shard_tokens": 150, "range_tokens": 40, "head": 7}, {"top": 5, "head": 0}])
 def test_brute_force(documents, rows, how):
     got = collocations.collocations(documents, least=3, **how)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -69,15 +69,21 @@ def test_empty_and_nothing_common(spark, nothing):
 
 
 def phrases(one):
+    words, one = one.with_words(HEAD)
     first, second, third, weight = one.phrases()
-    words = one.words()
     return Counter({(words[a], words[b], words[c] if c >= 0 else None): n
                     for a, b, c, n in zip(first, second, third, weight.tolist(), strict=True)})
 
 
+HEAD = [collocations.symbol("en", b"h%d" % i) for i in range(3)]
+
+
 def random_transducer(seed, n=400, words=9):
+    """Labels of the shared head and own ones, in an order of the transducer's own."""
     rng = np.random.default_rng(seed)
-    symbols = [("en", b"w%d" % i) for i in rng.permutation(words)]
+    symbols = [("en", b"w%d" % i) for i in rng.permutation(words)] + [("en", b"h%d" % i) for i in range(3)]
+    labels = np.concatenate([collocations.HEAD + np.arange(words), np.arange(3), [-1]])
+    words += 3
     first, second = rng.integers(0, words, (2, n))
     third = rng.integers(-1, words, n)
     weight = rng.integers(1, 5, n)
@@ -85,7 +91,7 @@ def random_transducer(seed, n=400, words=9):
     for a, b, c, k in zip(first, second, third, weight.tolist(), strict=True):
         expected[symbols[a], symbols[b], symbols[c] if c >= 0 else None] += k
     return CountTransducer.build(
-        pa.array([collocations.symbol(*s) for s in symbols], pa.binary()), first, second, third, weight), expected
+        pa.array([collocations.symbol(*s) for s in symbols[:-3]], pa.binary()), labels[first], labels[second], labels[third], weight), expected
 
 
 def test_transducers_hold_add_and_return_what_was_put_in():
@@ -95,24 +101,24 @@ def test_transducers_hold_add_and_return_what_was_put_in():
     united = CountTransducer.union([one for one, _ in made])
     total = sum((e for _, e in made), Counter())
     assert phrases(united) == total
-    hapax, _ = random_transducer(4, 60, words=40)
+    hapax, _ = random_transducer(4, 300, words=30)
     assert len(hapax.weights) < len(hapax.phrases()[0])  # states with one equal arc are one
     pairs = Counter()
     for (a, b, _), n in total.items():
         pairs[a, b] += n
+    some = united.frequent(6)
+    words, united = united.with_words(HEAD)
     first, second, count = united.pairs()
-    words = united.words()
     assert {(words[a], words[b]): n for a, b, n in zip(first, second, count, strict=True)} == pairs
-    some = united.frequent(6)
     kept = {p: n for p, n in phrases(some).items() if p[2] is not None}
     assert kept == {p: n for p, n in total.items() if p[2] is not None and n >= 6} and kept
-    first, second, count = some.pairs()
-    left = some.words()
+    left, small = some.with_words(HEAD)
+    first, second, count = small.pairs()
     assert {(left[a], left[b]): n for a, b, n in zip(first, second, count, strict=True)} == {
         p: n for p, n in pairs.items() if n >= 6}
     asked = united.compose(np.array([0, 0, 99]), np.array([1, 77, 1]))
     assert asked.tolist() == [pairs[words[0], words[1]], 0, 0]
-    assert not len(united.frequent(10**9).symbols) and not len(CountTransducer.of(united.frequent(10**9).row()).symbols)
+    assert not phrases(some.frequent(10**9)) and not len(CountTransducer.of(some.frequent(10**9).row()).symbols)
 
 
 def test_exact_scores_beyond_64_bits(spark):
