@@ -35,8 +35,8 @@ from stayline.llm.common import per_worker, scratch_path, small_batches
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_IDS = 1 << 20
-CACHED = 300_000
-SHARD_DOCS = 4096
+CACHED = 500_000
+SHARD_DOCS, MOST_SHARDS = 16_384, 100_000
 SAMPLE = 256  # ones between two sampled positions of the select structure
 
 BLOCK_SCHEMA = ("shard int, block int, n_docs int, n_ids long, n_null int, first_doc long, last_doc long, width int, ids binary, "
@@ -133,7 +133,8 @@ class TextEncoder:
         if not chunks or not first or first[-1].isspace():
             return self._encode(text).tobytes()
         try:
-            return self.first(first) + b"".join(map(self.inner.__getitem__, chunks))
+            known = b"".join(map(self.inner.__getitem__, chunks))
+            return self.first(first) + known
         except KeyError:
             pass
         missing = [c for c in dict.fromkeys(chunks) if c not in self.inner]
@@ -163,14 +164,18 @@ class TextEncoder:
         return self._encode(chunk).tobytes()
 
 
-def shard_limits(docs: DataFrame, docs_each: int) -> list[int]:
-    """doc_ids that cut the documents into shards of about ``docs_each``; one limit per shard."""
-    n = docs.count()
-    shards = -(-n // docs_each)
-    if shards <= 1:
-        return []
-    steps = [i / shards for i in range(1, shards)]
-    return sorted({int(x) for x in docs.stat.approxQuantile("doc_id", steps, 0.1 / shards)})
+def in_shards(rows: DataFrame, shard_docs: int) -> DataFrame:
+    """``rows`` (doc_id, text) in ranges of (doc_id, hash of the text), sorted within them, with the range's number as ``shard``.
+
+    Spark samples the limits. Ranges are as many as the session's shuffle partitions or, if that is more, one for
+    ``shard_docs`` documents, ``MOST_SHARDS`` at most. NULL ids come first and, like equal ids, may take several ranges.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-rows.select("doc_id").count() // shard_docs)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc()]
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    return keyed.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select(
+        "doc_id", "text", F.spark_partition_id().alias("shard"))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID,
@@ -180,13 +185,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id:
     wide = Tokenizer.from_file(file).get_vocab_size(with_added_tokens=True) > 1 << 16 or end_id >= 1 << 16
     dtype, width = ("<u4", 4) if wide else ("<u2", 2)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    limits = shard_limits(rows.select("doc_id"), shard_docs)
-    place = F.array(*[F.lit(x) for x in limits]) if limits else None
-    shard = F.lit(0) if place is None else F.when(F.col("doc_id").isNull(), 0).otherwise(
-        F.size(F.filter(place, lambda x: x < F.col("doc_id")))).cast("int")
-    ordered = rows.withColumn("shard", shard)
-    ordered = ordered.repartitionById(len(limits) + 1, F.col("shard"))
-    ordered = ordered.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = in_shards(rows, shard_docs)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -291,7 +290,7 @@ def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]
 def token_id_table(docs: DataFrame, path: str | None = None, **how) -> DataFrame:
     """Write ``docs`` (doc_id, text) in the file format and return what is read back, one row per document.
 
-    Order: doc_id ascending, NULL first, equal ids by text. NULL and empty texts hold the end id alone. Repeated
+    Order: doc_id ascending, NULL first, equal ids by a hash of the text. NULL and empty texts hold the end id alone. Repeated
     rows are written each; other columns aren't looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
