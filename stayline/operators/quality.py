@@ -55,32 +55,54 @@ def orphans(child: DataFrame, key: str, parent: DataFrame) -> DataFrame:
 
 
 def orphan_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(constraint, violations) for every declared foreign key."""
-    return _violations({
-        f"{child}.{key} -> {parent}": orphans(tables[child], key, tables[parent])
-        for child, key, parent in FOREIGN_KEYS
-    })
+    """(constraint, violations) for every declared foreign key: rows whose key has no parent row."""
+    return _audited(tables, keys=False, lengths=False)
 
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that are NULL or occur more than once."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col(key).isNull() | (F.col("n") > 1))
+def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(constraint, violations): primary keys, foreign keys and text lengths as declared.
+
+    Counted are keys that are NULL or occur more than once, rows without a parent row, and texts that are too long.
+    """
+    return _audited(tables)
+
+
+def _audited(tables: dict[str, DataFrame], keys: bool = True, lengths: bool = True) -> DataFrame:
+    """Every table is read once. Its rows become counts per (key, constraint), so tasks pass on a few numbers per key; children and
+    parents then meet by key in one shuffle for all constraints."""
+    counted, names = None, []
+    for name, df in tables.items():
+        tags = []
+        if name in PRIMARY_KEYS:
+            tags.append(_tag(name, PRIMARY_KEYS[name], f"{name}.{PRIMARY_KEYS[name]} unique", F.lit(True)))
+            names += [f"{name}.{PRIMARY_KEYS[name]} unique"] if keys else []
+        for child, key, parent in FOREIGN_KEYS:
+            if child == name:
+                tags.append(_tag(parent, key, f"{child}.{key} -> {parent}", F.col(key).isNotNull()))
+                names.append(f"{child}.{key} -> {parent}")
+        for column, most in TEXT_LIMITS.get(name, {}).items() if lengths else []:
+            tags.append(_tag("", None, f"{name}.{column} length", F.length(column) > most))
+            names.append(f"{name}.{column} length")
+        if tags:
+            found = df.select(F.inline(F.filter(F.array(*tags), lambda t: t["holds"]))).groupBy(
+                "domain", "key", "constraint").agg(F.count("*").alias("n"))
+            counted = found if counted is None else counted.unionByName(found)
+    parent = F.col("constraint").endswith(" unique")
+    met = counted.groupBy("domain", "key").agg(
+        F.coalesce(F.sum(F.when(parent, F.col("n"))), F.lit(0)).alias("parents"), F.collect_list(F.struct("constraint", "n")).alias("found"))
+    each = met.select("domain", "key", "parents", F.inline("found"))
+    wrong = (
+        F.when(F.col("domain") == "", F.col("n"))
+        .when(parent, ((F.col("parents") > 1) | F.col("key").isNull()).cast("long"))
+        .otherwise(F.when(F.col("parents") == 0, F.col("n")).otherwise(0))
+    )
+    sums = each.groupBy("constraint").agg(F.sum(wrong).alias("violations"))
+    every = counted.sparkSession.createDataFrame([(n,) for n in names], "constraint string")
+    return every.join(F.broadcast(sums), "constraint", "left").select(
+        "constraint", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))
 
 
-def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """(constraint, violations): primary keys, foreign keys and text lengths as declared."""
-    keys = {f"{t}.{k} unique": duplicate_keys(tables[t], k) for t, k in PRIMARY_KEYS.items()}
-    result = _violations(keys).unionByName(orphan_counts(tables))
-    for name, limits in TEXT_LIMITS.items():
-        # all limits of a table in one pass
-        row = tables[name].agg(*[F.count_if(F.length(c) > n).alias(c) for c, n in limits.items()])
-        long_text = row.select(F.inline(F.array(*[
-            F.struct(F.lit(f"{name}.{c} length").alias("constraint"), F.col(c).alias("violations")) for c in limits
-        ])))
-        result = result.unionByName(long_text)
-    return result
-
-
-def _violations(found: dict[str, DataFrame]) -> DataFrame:
-    return table_counts(found).select(F.col("tbl").alias("constraint"), F.col("n").alias("violations"))
+def _tag(domain: str, key: str | None, constraint: str, holds):
+    value = F.col(key).cast("long") if key else F.lit(None).cast("long")
+    return F.struct(F.lit(domain).alias("domain"), value.alias("key"), F.lit(constraint).alias("constraint"),
+                    F.coalesce(holds, F.lit(False)).alias("holds"))

@@ -9,7 +9,7 @@ from stayline.operators.cohort import SEED, cap_rows, stratified_sample
 from stayline.operators.reports import table_counts
 from stayline.session import materialize
 from stayline.sources.extracts import read_extracts
-from stayline.sources.tables import reload_tables
+from stayline.sources.tables import read_tables, reload_tables
 
 
 def build_tables(raw: dict[str, DataFrame], cap: int | None = None, seed: int = SEED,
@@ -44,4 +44,4 @@ def run_ingest(spark: SparkSession, raw_root: str, table_root: str, cap: int | N
     """Load all extracts below ``raw_root`` into Parquet tables, clustered by encounter; returns the load summary."""
     tables = build_tables(read_extracts(spark, raw_root), cap, seed, max_vitals)
     reload_tables(tables, table_root, cluster)
-    return table_counts({name: spark.read.parquet(f"{table_root}/{name}") for name in tables})
+    return table_counts(read_tables(spark, table_root, *tables))

@@ -418,6 +418,23 @@ _DUPLICATES = " UNION ALL ".join(
     for t, k in (("patient", "patient_id"), ("encounter", "encounter_id"), ("icu_stay", "icu_stay_id")))
 _LENGTHS = " UNION ALL ".join(
     f"SELECT '{t}.{c} length', COUNT(*) FROM {t} WHERE LENGTH({c}) > {n}" for t, cs in TEXT_LIMITS.items() for c, n in cs.items())
+#: Tables with violations of every kind, and the audit of them.
+_AUDITED = """
+    people AS (SELECT * FROM patient WHERE patient_id % 37 <> 0),
+    a_patient AS (SELECT * FROM people UNION ALL SELECT * FROM people WHERE patient_id % 100 = 1 UNION ALL
+                  SELECT * REPLACE (CAST(NULL AS BIGINT) AS patient_id, 'MALE' AS gender) FROM people WHERE patient_id % 50 = 2),
+    stays AS (SELECT * REPLACE (CASE WHEN encounter_id % 29 = 0 THEN repeat(race, 20) ELSE race END AS race)
+              FROM encounter WHERE encounter_id % 41 <> 0),
+    a_encounter AS (SELECT * FROM stays UNION ALL SELECT * FROM stays WHERE encounter_id % 300 = 5),
+    a_icu_stay AS (SELECT * REPLACE (CASE WHEN encounter_id % 17 <> 0 THEN encounter_id END AS encounter_id) FROM icu_stay),
+    a_medication AS (SELECT * REPLACE (CASE WHEN encounter_id % 31 = 0 THEN repeat(route, 60) ELSE route END AS route) FROM medication),
+    a_diagnosis AS (SELECT * FROM diagnosis), a_lab_result AS (SELECT * FROM lab_result), a_vital_sign AS (SELECT * FROM vital_sign)"""
+_A_ORPHANS = " UNION ALL ".join(
+    f"SELECT '{c}.{k} -> {p}' AS constraint_name, COUNT(*) AS n FROM a_{c} c WHERE c.{k} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM a_{p} p WHERE p.{k} = c.{k})" for c, k, p in (
+        ("encounter", "patient_id", "patient"), ("icu_stay", "encounter_id", "encounter"), ("icu_stay", "patient_id", "patient"),
+        ("diagnosis", "encounter_id", "encounter"), ("medication", "encounter_id", "encounter")))
+_A_OTHERS = f"{_DUPLICATES} UNION ALL {_LENGTHS}".replace(" FROM ", " FROM a_").replace("a_(", "(")
 _ALL7 = "patient encounter icu_stay diagnosis medication lab_result vital_sign"
 _TRAINING_ROUNDED = f"SELECT {_ROUND_FEATURES}, label FROM training"
 
@@ -437,6 +454,7 @@ ORACLE: dict[str, str] = {
     "csv_event_scan": _sql("loaded_vital", "SELECT * FROM loaded_vital"),
     "table_append": _sql("medication", "SELECT * FROM medication"),
     "table_reload": _sql("patient", "SELECT * FROM patient"),
+    "failed_reload": _sql(_ALL7, _counts([(t, t) for t in _ALL7.split()])),
     "partition_reload": _sql("medication", """
         SELECT encounter_id, CASE WHEN route = 'F' THEN UPPER(drug_name) ELSE drug_name END AS drug_name, route
         FROM medication"""),
@@ -715,8 +733,10 @@ ORACLE: dict[str, str] = {
           UNION ALL SELECT 'readmission rate', AVG(label), CAST(0.05 AS DOUBLE) FROM training
           UNION ALL SELECT 'sequence encounters', CAST(COUNT(DISTINCT encounter_id) AS DOUBLE), CAST(1000 AS DOUBLE)
           FROM sequence) c"""),
-    "orphan_counts": _sql(_ALL7, f'SELECT constraint_name AS "constraint", n AS violations FROM ({_ORPHANS}) o'),
+    "orphan_counts": _sql(_ALL7, f', {_AUDITED} SELECT constraint_name AS "constraint", n AS violations FROM ({_A_ORPHANS}) o'),
     "constraint_audit": _sql(
+        _ALL7, f', {_AUDITED} SELECT constraint_name AS "constraint", n AS violations FROM ({_A_ORPHANS} UNION ALL {_A_OTHERS}) o'),
+    "constraint_audit_of_sound_tables": _sql(
         _ALL7, f'SELECT constraint_name AS "constraint", n AS violations FROM ({_ORPHANS} UNION ALL {_DUPLICATES} UNION ALL {_LENGTHS}) o'),
     # streaming
     "streamed_vitals": _sql("loaded_vital loaded_encounter", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stayline.operators.loading import describe_diagnoses
 
@@ -298,3 +299,20 @@ TYPED = {
 
 def typed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: make(spark, sf_dir) for name, make in TYPED.items()}
+
+
+def audited_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The typed tables with violations of every kind of constraint."""
+    tables = typed_tables(spark, sf_dir)
+    people = tables["patient"].where("patient_id % 37 <> 0")
+    nameless = people.where("patient_id % 50 = 2").selectExpr(
+        "CAST(NULL AS BIGINT) AS patient_id", "'MALE' AS gender", "anchor_age", "anchor_year", "dod")
+    stays = tables["encounter"].where("encounter_id % 41 <> 0").withColumns({
+        "race": F.expr("CASE WHEN encounter_id % 29 = 0 THEN repeat(race, 20) ELSE race END")})
+    return tables | {
+        "patient": people.unionByName(people.where("patient_id % 100 = 1")).unionByName(nameless),
+        "encounter": stays.unionByName(stays.where("encounter_id % 300 = 5")),
+        "icu_stay": tables["icu_stay"].withColumn("encounter_id", F.expr("CASE WHEN encounter_id % 17 <> 0 THEN encounter_id END")),
+        "medication": tables["medication"].withColumn(
+            "route", F.expr("CASE WHEN encounter_id % 31 = 0 THEN repeat(route, 60) ELSE route END")),
+    }
