@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,24 @@ def numbered(df: DataFrame, name: str, column: str = "_row") -> DataFrame:
     return materialize(df.withColumn(column, F.monotonically_increasing_id()), name)
 
 
+def keeps_columns(*needed: str) -> Callable:
+    """For functions that give back rows of their first argument with all its columns.
+
+    Within the function, columns other than ``needed`` have names that none of its own can clash with.
+    """
+    def decorate(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(run)
+        def renamed(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = [(c, c if c in needed else f"column {i}") for i, c in enumerate(docs.columns)]
+            safe = docs.toDF(*[inner for _, inner in names])
+            found = run(safe, *args, **kwargs)
+            return found.select(*[F.col(f"`{inner}`").alias(c) for c, inner in names])
+
+        return renamed
+
+    return decorate
+
+
 def map_arrow(df: DataFrame, run: Callable[[dict], Iterable[dict] | dict], schema: str) -> DataFrame:
     """``mapInArrow`` with batches as dicts of Python lists, in and out; ``run`` takes one batch."""
     from pyspark.sql.types import StructType

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stayline.llm.common import id_remainder, per_worker, small_batches
+from stayline.llm.common import id_remainder, keeps_columns, per_worker, small_batches
 
 SAMPLE_BYTES = 40_000
 TOTAL_BYTES = 2_000_000
@@ -178,6 +178,15 @@ def predict_languages(docs: DataFrame, model_texts: dict[str, bytes]) -> DataFra
     return docs.mapInArrow(task, schema)
 
 
+@keeps_columns("doc_id", "text", "lang")
+def documents_with_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, ...) whose text has a language, learned from all of them.
+
+    Texts that are NULL or without a letter go, and all do where no row has a lang. Repeated rows stay repeated.
+    """
+    return predict_languages(docs, training_sample(docs)).where(F.col("_lang") != UNKNOWN)
+
+
 def identify(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, **sizes) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.llm.common import materialize, numbered, word_count
+from stayline.llm.common import keeps_columns, materialize, numbered, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 LEAF = 1024
@@ -159,8 +159,12 @@ def mix(docs: DataFrame, seed: int = 20, leaf: int = LEAF, fan: int = FAN) -> Da
     )
 
 
+@keeps_columns("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, seed: int = 20) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns."""
+    """The mix itself: the rows of ``docs`` (doc_id, text, source, ...), each as often as it is taken, with all their columns.
+
+    NULLs, repeated rows and empty tables as in ``mix``.
+    """
     rows = numbered(docs.withColumns({"_size": word_count("text"), "_key": F.xxhash64("doc_id", "text")}), "to-mix")
     sized = rows.select("_row", "_key", "source", F.col("_size").alias("size"))
     drawn = copies(sized, materialize(source_targets(sized), "targets"), seed)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import materialize, numbered, small_batches, words_of
+from stayline.llm.common import keeps_columns, materialize, numbered, small_batches, words_of
 from stayline.llm.simhash import Union, components, links, majority, sampled_keys, shingle_hashes
 from stayline.session import copies_made, remove_copies
 
@@ -164,6 +164,7 @@ def verified_links(rows: DataFrame, close: DataFrame, least: float) -> DataFrame
     return stars.unionByName(block_links(members, stars, least))
 
 
+@keeps_columns("doc_id", "text")
 def distinct_documents(docs: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) but for one of each group, the one with the smallest doc_id.
 

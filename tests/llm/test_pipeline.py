@@ -12,6 +12,7 @@ import corpus_pipeline
 from stayline.session import materialize
 
 from .conftest import sentence
+from .test_tokens import place
 
 
 @pytest.fixture(scope="module")
@@ -43,13 +44,25 @@ def test_every_stage_takes_effect(spark, folder):
     assert seen[2] == clean and seen[3] <= clean
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected, start = [], 0
-    for r in sorted(before.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text.encode())):
+    for r in sorted(before.collect(), key=place):
         ids = library.encode(r.text, add_special_tokens=False).ids + [0]
         expected.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, docs.collect()), key=lambda r: r[1]) == expected
 
 
+def test_columns_of_any_name_come_back_as_they_were(spark, folder):
+    """Names that the operators use themselves, and ones that need quoting."""
+    names = ["_row", "_size", "_key", "_copies", "_copy", "_lang", "_score", "_doc", "_hash", "node", "fp", "text_hash", "key", "a.b", "c d", "column 0"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"concat('{n} of ', doc_id) AS `{n}`" for n in names])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, folder), "stage")
+        assert docs.columns == columns
+        rows = docs.where("doc_id IS NOT NULL").collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     again = corpus_pipeline.run(spark, folder)
