@@ -1,7 +1,8 @@
 """From raw documents to token files: language ID, near-dedup, decontamination, mixing, token ids.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's ``docs``. So when a stage begins, the intermediate copies of the
+written as Parquet and read again as the next one's ``docs``. All but the last give rows of ``docs`` with all their columns,
+whatever those are called, and an empty table for an empty one. So when a stage begins, the intermediate copies of the
 stage before aren't needed any more, and are deleted.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stayline.llm.binary_ids import token_id_table
 from stayline.llm.common import materialize, table
-from stayline.llm.cross_parse import UNKNOWN, predict_languages, training_sample
+from stayline.llm.cross_parse import documents_with_language
 from stayline.llm.decontamination import clean_documents
 from stayline.llm.mixing import mixed_documents
 from stayline.llm.near_documents import distinct_documents
@@ -41,25 +42,25 @@ def staged(stage: Stage) -> Stage:
 
 @staged
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter are rejected."""
-    found = predict_languages(docs, training_sample(docs))
-    return found.where(found["_lang"] != UNKNOWN).select(*docs.columns)
+    """Documents with a language; NULL and empty texts and those without a letter are rejected."""
+    return documents_with_language(docs)
 
 
 @staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id; NULL ids come last, ties are open."""
     return distinct_documents(docs)
 
 
 @staged
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark passage."""
+    """Documents that overlap no benchmark passage; NULL and empty texts overlap none, repeated rows share their fate."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 @staged
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, up to twice; texts without words are never taken."""
     return mixed_documents(docs)
 
 
