@@ -13,6 +13,7 @@ from stayline.sources.bundles import Bundle
 
 OK, NO_FEATURES, NO_MODEL = "ok", "no features", "no model"
 NEUTRAL = 0.5
+LATENESS = "INTERVAL '30' DAY"  # by how much encounters may arrive out of order
 
 
 def align_features(features: DataFrame, wanted: list[str] = MODEL_FEATURES,
@@ -88,3 +89,15 @@ def score_batch(wanted: DataFrame, features: DataFrame, sequences: DataFrame, vi
 def scored_only(rows: DataFrame) -> DataFrame:
     """Rows that could be scored; a failed encounter does not fail the batch."""
     return rows.where(F.col("status") == OK)
+
+
+def unscored(encounters: DataFrame, log: DataFrame | None, scored_to=None, lateness: str = LATENESS) -> DataFrame:
+    """Encounters that aren't in ``log`` (encounter_id), of those admitted since ``scored_to`` less ``lateness``.
+
+    The time bounds what is read; the log decides. Encounters without a time are always looked at.
+    """
+    recent = encounters
+    if scored_to is not None:
+        since = F.lit(scored_to).cast("timestamp_ntz") - F.expr(lateness)
+        recent = encounters.where(F.col("admit_time").isNull() | (F.col("admit_time") >= since))
+    return recent if log is None else recent.join(log.select("encounter_id"), "encounter_id", "left_anti")

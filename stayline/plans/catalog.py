@@ -810,6 +810,26 @@ def scored_log(spark, sf_dir):
     return tables.read_table(spark, root, "risk_prediction").drop("predicted_at")
 
 
+@query
+def incremental_log(spark, sf_dir):
+    """The log after the scoring job has run for early encounters, for all, and for all once more without its mark: how often
+    each encounter is in it, and whether its score and band are sound."""
+    root = scratch_path(spark, "tables")
+    bundles.save_bundle(spark, trained_tabular(spark, sf_dir).bundle, f"{root}/bundle")
+    given = {"features": materialize(feature_table(spark, sf_dir), "features"),
+             "sequences": materialize(sequence_table(spark, sf_dir), "sequences"),
+             "vital_sign": testdata.vital_sign(spark, sf_dir)}
+    encounters = testdata.encounter(spark, sf_dir)
+    for batch in (encounters.where("admit_time < DATE '1996-01-01'"), encounters):
+        scoring_job.run_incremental(spark, batch, given, root, f"{root}/bundle", f"{root}/none")
+    scoring_job.forget_mark(spark, root)
+    scoring_job.run_incremental(spark, encounters, given, root, f"{root}/bundle", f"{root}/none")
+    log = tables.read_table(spark, root, "risk_prediction")
+    band = F.col("risk_level").isin("LOW", "MEDIUM", "HIGH")
+    return log.groupBy("encounter_id").agg(
+        F.count("*").alias("times"), F.min(F.col("fusion_score").between(0, 1) & band).alias("sound"))
+
+
 @query
 def tabular_score_status(spark, sf_dir):
     """Whether each encounter can be scored, without a model."""

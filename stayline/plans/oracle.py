@@ -720,6 +720,9 @@ ORACLE: dict[str, str] = {
         SELECT f.encounter_id, ROUND(xgb_score, 4) AS xgb_score, ROUND(lstm_score, 4) AS lstm_score,
                ROUND(cnn_score, 4) AS cnn_score, fusion_score, risk_level, 'v2_mimic' AS model_version
         FROM fused f JOIN encounter e ON e.encounter_id = f.encounter_id WHERE f.encounter_id % 3 = 0"""),
+    "incremental_log": _sql("encounter features", """
+        SELECT e.encounter_id, CAST(1 AS BIGINT) AS times, TRUE AS sound
+        FROM encounter e JOIN features f ON f.encounter_id = e.encounter_id"""),
     # quality
     "stage_counts": _sql("encounter features label training", """
         SELECT 'encounters' AS stage, COUNT(*) AS n FROM encounter

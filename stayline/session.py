@@ -63,15 +63,19 @@ def remove_copies(spark: SparkSession, paths: list[str] | None = None) -> int:
     Call it when results are written: frames that read the copies can't be used afterwards. Returns how many
     there were.
     """
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = [p for p in _COPIES if paths is None or p in paths]
     for name in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, name)
         _COPIES.remove(name)
     return len(gone)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -38,16 +38,16 @@ def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle | None:
     """The bundle, or None when there is none at ``path``: the model is then unavailable."""
-    if not _exists(spark, f"{path}/metadata"):
+    if not exists(spark, f"{path}/metadata"):
         return None
     meta = spark.read.parquet(f"{path}/metadata").first()
-    scaler = spark.read.parquet(f"{path}/scaler") if _exists(spark, f"{path}/scaler") else None
-    boosted = _exists(spark, f"{path}/model/trees")
+    scaler = spark.read.parquet(f"{path}/scaler") if exists(spark, f"{path}/scaler") else None
+    boosted = exists(spark, f"{path}/model/trees")
     model = BoostedTrees.load(spark, f"{path}/model") if boosted else PipelineModel.load(f"{path}/model")
     return Bundle(model, meta["version"], list(meta["feature_cols"]),
                   meta["test_auc"], meta["test_prauc"], scaler)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)

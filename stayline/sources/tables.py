@@ -99,7 +99,7 @@ def append_predictions(scored: DataFrame, root: str, version: str = MODEL_VERSIO
     )
     columns = TABLES["risk_prediction"].names
     log.select(*columns).write.mode("append").partitionBy("model_version").parquet(
-        f"{root.rstrip('/')}/risk_prediction"
+        table_path(scored.sparkSession, root, "risk_prediction")
     )
 
 
