@@ -703,7 +703,7 @@ ORACLE: dict[str, str] = {
                  WHEN contains(lower(image_path), 'pneumonia') OR contains(lower(image_path), 'virus') THEN 0.9
                  WHEN contains(lower(image_path), 'normal') THEN 0.2 ELSE 0.5 END AS DOUBLE) AS cnn_score FROM score_input"""),
     "image_brightness_scores": """
-        SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 0 OR text = '' THEN NULL WHEN
+        SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 0 OR text = '' THEN NULL WHEN doc_id % 5 IN (1, 2) THEN 0.1 WHEN
                  list_avg(list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::INT))
                  > 120 THEN 0.1 ELSE 0.9 END AS DOUBLE) AS cnn_score
         FROM (SELECT doc_id, text, hex(text) AS h FROM documents) d""",

@@ -169,10 +169,13 @@ def note_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document bytes taken as one-channel pixels, in the shape of Spark's image source."""
+    """Pixels in the shape of Spark's image source: document bytes as one channel, bright ones, four channels with a dark alpha,
+    and some that can't be decoded."""
     return _read(spark, sf_dir, "documents").selectExpr(
         "doc_id",
-        "named_struct('nChannels', IF(doc_id % 11 = 0, -1, 1), 'data', CAST(text AS BINARY)) AS image",
+        "named_struct('nChannels', CASE WHEN doc_id % 11 = 0 THEN -1 WHEN doc_id % 5 = 1 THEN 4 ELSE 1 END, 'data', "
+        "CAST(CASE doc_id % 5 WHEN 1 THEN repeat('zzz!', length(text)) WHEN 2 THEN repeat('\u00ff', length(text)) ELSE text END "
+        "AS BINARY)) AS image",
     )
 
 
