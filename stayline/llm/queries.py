@@ -95,21 +95,29 @@ ORACLE: dict[str, str] = {
     """,
     "op4_line_dedup": """
         WITH line AS (
-            SELECT doc_id, n, lines[n] AS line, CAST(len(lines) AS BIGINT) AS n_lines
+            SELECT doc_id, n, lines[n] AS line, CAST(len(lines) AS BIGINT) AS n_lines,
+                   len(regexp_extract_all(lines[n], '[^\\x20\\x09-\\x0D]+')) AS words
             FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
                  LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS n)
         ),
-        run AS (
-            SELECT doc_id, n, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
+        near AS (
+            SELECT doc_id, n, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c,
+                   words AS w1, words + lead(words, 1) OVER w AS w2
             FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY n)
         ),
+        run AS (
+            SELECT doc_id, n, 3 AS size, 'run' AS kind, a, b, c FROM near WHERE c IS NOT NULL
+            UNION ALL SELECT doc_id, n, 2, 'run', a, b, NULL FROM near WHERE w2 >= 50
+            UNION ALL SELECT doc_id, n, 1, 'run', a, NULL, NULL FROM near WHERE w1 >= 50
+            UNION ALL SELECT doc_id, 1, len(string_split(text, chr(10))), 'text', text, NULL, NULL FROM documents
+            WHERE text <> '' AND len(string_split(text, chr(10))) < 3
+        ),
         later AS (
-            SELECT doc_id, n FROM (
-                SELECT doc_id, n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) AS k
-                FROM run WHERE c IS NOT NULL
+            SELECT doc_id, n, size FROM (
+                SELECT doc_id, n, size, row_number() OVER (PARTITION BY kind, a, b, c ORDER BY doc_id, n) AS k FROM run
             ) WHERE k > 1
         ),
-        gone AS (SELECT DISTINCT doc_id, n + d AS n FROM later, (VALUES (0), (1), (2)) AS shift(d)),
+        gone AS (SELECT DISTINCT doc_id, n + unnest(range(0, size)) AS n FROM later),
         kept AS (
             SELECT line.doc_id, line.n, line.line FROM line ANTI JOIN gone
             ON line.doc_id = gone.doc_id AND line.n = gone.n
