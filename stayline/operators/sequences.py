@@ -52,14 +52,15 @@ def vital_sequence(icu_stays: DataFrame, vitals: DataFrame, labels: DataFrame) -
     )
 
 
-def hourly_vitals(vitals: DataFrame, only_sequence_vitals: bool = True) -> DataFrame:
+def hourly_vitals(vitals: DataFrame, only_sequence_vitals: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Means of the six vitals per encounter and clock hour.
 
-    With ``only_sequence_vitals`` off, hours that hold only other vital types give a row of NULLs.
+    With ``only_sequence_vitals`` off, hours that hold only other vital types give a row of NULLs. ``keep`` names
+    columns that follow from encounter and hour and stay.
     """
     if only_sequence_vitals:
         vitals = vitals.where(F.col("vital_type").isin(SEQUENCE_VITALS))
-    return vitals.groupBy("encounter_id", hour_of(F.col("recorded_at")).alias("hour")).agg(*_hourly_means())
+    return vitals.groupBy("encounter_id", hour_of(F.col("recorded_at")).alias("hour"), *(keep or [])).agg(*_hourly_means())
 
 
 def latest_steps(rows: DataFrame, step: str, length: int = SEQUENCE_HOURS) -> DataFrame:

@@ -895,3 +895,16 @@ def streamed_hourly_vitals(spark, sf_dir):
     hourly = streams.hourly_vitals_stream(testdata.vitals_of(_event_stream(spark, sf_dir)), "2 hours")
     streams.append_stream(hourly, f"{root}/hourly", f"{root}/checkpoint").awaitTermination()
     return rounded(spark.read.schema(hourly.schema).parquet(f"{root}/hourly"), *SEQUENCE_VITALS)
+
+
+@query
+def corrected_hours(spark, sf_dir):
+    """Three deliveries with readings of all hours each, then the first once more: hours are corrected, repeats don't count."""
+    root = scratch_path(spark, "stream")
+    vitals = testdata.vital_sign(spark, sf_dir)
+    delivery = F.pmod(F.xxhash64(*vitals.columns), F.lit(3))
+    for number in (0, 1, 2, 0):
+        vitals.where(delivery == number).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(vitals.schema).parquet(f"{root}/landing")
+        streams.publish_hours(stream, root, f"{root}/checkpoint", vitals.columns, parts=4).awaitTermination()
+    return rounded(streams.published_hours(spark, root), *SEQUENCE_VITALS)

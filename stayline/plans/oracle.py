@@ -747,4 +747,8 @@ ORACLE: dict[str, str] = {
     "streamed_hourly_vitals": _sql("hourly vital_sign", f"""
         SELECT encounter_id, hour, {_rounded(V6)} FROM hourly
         WHERE hour + INTERVAL '1' HOUR <= (SELECT MAX(recorded_at) FROM vital_sign WHERE vital_type IN ({_IN6})) - INTERVAL '2' HOUR"""),
+    "corrected_hours": _sql("vital_sign", f"""
+        SELECT encounter_id, hour, {_rounded(V6)} FROM (
+            SELECT encounter_id, date_trunc('hour', recorded_at) AS hour, {_pivot()}
+            FROM (SELECT DISTINCT * FROM vital_sign) d WHERE vital_type IN ({_IN6}) GROUP BY 1, 2) h"""),
 }
