@@ -1,6 +1,7 @@
 """Boosted trees by histograms: gradient sums per (node, feature, bin) over all rows.
 
-Features are binned once, by a quantile sketch of the train rows, and the binned rows are written with their margins. To split
+Features are binned once, by a quantile sketch of the train rows, and the binned rows are written with their margins, in blocks
+of some thousand rows and a buffer per column: a job reads them all, and reading row by row took longer than the sums. To split
 nodes, a job's tasks sum the gradients of their rows, a shuffle by node adds the sums up, and the best split of each node is
 found where they meet. Only splits come to the driver. Boosting goes on from its own margins, which are written anew
 every ``SNAPSHOT`` trees, and the first job of a round counts the held-out rows' margins, so its AUC is known as it goes.
@@ -27,7 +28,9 @@ from stayline.session import copies_made, materialize, remove_copies
 
 MAX_BINS = 128  # of a feature; bin 0 holds missing values
 SKETCH_ERROR = 0.001
-ROWS_EACH = 250_000  # rows a task reads
+ROWS_EACH = 500_000  # rows a task reads at most
+BLOCK_ROWS = 50_000
+LEAST_ROWS = 10_000  # fewer aren't worth a task
 SAMPLE = 200_000  # train rows with which the driver foresees splits
 SNAPSHOT = 8
 AUC_BINS = 4096
@@ -86,36 +89,29 @@ class Tree:
         return (self.feature[node], self.bin[node], self.missing_left[node]) == (
             other.feature[its], other.bin[its], other.missing_left[its])
 
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        return (np.array(self.feature), np.array(self.bin), np.array(self.threshold), np.array(self.missing_left),
-                np.array(self.left), np.array(self.value))
-
-    def leaves(self, columns: np.ndarray, binned: bool) -> np.ndarray:
-        """The node in which each row ends. ``columns``: features x rows, as bins or as values."""
-        feature, bins, threshold, missing_left, left, _ = self.arrays()
-        rows = np.arange(columns.shape[1])
-        node = np.zeros(len(rows), np.int64)
-        while True:
-            inner = feature[node] >= 0
-            if not inner.any():
-                return node
-            value = columns[feature[node], rows]
-            if binned:
-                goes_left = np.where(value == 0, missing_left[node], value <= bins[node])
+    def leaves(self, columns: np.ndarray, binned: bool, ends: frozenset[int] = frozenset()) -> np.ndarray:
+        """The node in which each row ends, a leaf or one of ``ends``. ``columns``: features x rows, as bins or as values."""
+        small = np.min_scalar_type(-len(self.feature)).type  # node numbers of one byte in most trees
+
+        def reached(node: int) -> np.ndarray:
+            if self.feature[node] < 0 or node in ends:
+                return small(node)
+            value = columns[self.feature[node]]
+            if binned:  # missing values have bin 0, below every split
+                goes_left = value <= self.bin[node] if self.missing_left[node] else (value <= self.bin[node]) & (value > 0)
             else:
-                goes_left = np.where(np.isnan(value), missing_left[node], value < threshold[node])
-            node = np.where(inner, left[node] + ~goes_left, node)
-
-    def levels(self, columns: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows (places in ``columns``, as bins) and their nodes, level by level; rows end with their leaf."""
-        feature, bins, _, missing_left, left, _ = self.arrays()
-        node = np.zeros(len(rows), np.int64)
-        while len(rows):
-            yield rows, node
-            inner = feature[node] >= 0
-            rows, node = rows[inner], node[inner]
-            value = columns[feature[node], rows]
-            node = left[node] + ~np.where(value == 0, missing_left[node], value <= bins[node])
+                goes_left = value < self.threshold[node]
+                if self.missing_left[node]:
+                    goes_left |= np.isnan(value)
+            left, right = reached(self.left[node]), reached(self.left[node] + 1)
+            return right + (left - right) * goes_left.astype(small)  # without branches, unlike np.where
+
+        return np.broadcast_to(reached(0), columns.shape[1]).astype(np.intp)
+
+    def below(self, node: int) -> list[int]:
+        """``node`` and all nodes under it."""
+        children = (self.left[node], self.left[node] + 1) if self.feature[node] >= 0 else ()
+        return [node, *[n for child in children for n in self.below(child)]]
 
     def values(self, columns: np.ndarray, binned: bool) -> np.ndarray:
         return np.array(self.value)[self.leaves(columns, binned)]
@@ -134,16 +130,15 @@ class BoostedTrees:
         trees = self.trees
 
         @F.pandas_udf("double")
-        def probability(values):
-            columns = np.stack(values.to_list()).T
-            margin = np.zeros(len(values))
+        def probability(*values):
+            columns = np.stack([v.to_numpy() for v in values])
+            margin = np.zeros(columns.shape[1])
             for tree in trees:
                 margin += tree.values(columns, binned=False)
             return pd.Series(1 / (1 + np.exp(-margin)))
 
         missing = F.lit(float("nan"))
-        values = F.array(*[F.coalesce(F.col(c).cast("double"), missing) for c in self.features])
-        return rows.withColumn(output, probability(values))
+        return rows.withColumn(output, probability(*[F.coalesce(F.col(c).cast("double"), missing) for c in self.features]))
 
     def best(self) -> int:
         """The first round (from 1) with the best AUC."""
@@ -234,6 +229,17 @@ def in_sample(draw: np.ndarray, number: int, share: float, seed: int) -> np.ndar
     return (mixed >> np.uint64(32)) < np.uint64(int(share * (1 << 32)))
 
 
+#: Columns of a block and the types of their buffers; ``columns`` is features x rows.
+BLOCK = {"label": np.float64, "weight": np.float64, "held_out": np.bool_, "draw": np.int64, "margin": np.float64, "columns": np.uint8}
+BLOCK_SCHEMA = ", ".join(f"{name} binary" for name in BLOCK)
+
+
+def packed(rows: Iterable[Held]) -> pa.RecordBatch:
+    """A block per element of ``rows``."""
+    data = [[np.ascontiguousarray(getattr(held, name), kind).tobytes() for name, kind in BLOCK.items()] for held in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*data, strict=True)], names=list(BLOCK))
+
+
 class Held:
     """Binned rows in memory, with their margins."""
 
@@ -250,6 +256,17 @@ class Held:
         bins = np.frombuffer(raw.buffers()[2], np.uint8)[at:at + batch.num_rows * features].reshape(-1, features)
         return (*[batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], np.ascontiguousarray(bins.T))
 
+    @classmethod
+    def blocks(cls, batches: Iterable[pa.RecordBatch], features: int) -> Iterator[Held]:
+        """The rows of each block that ``packed`` has made."""
+        for batch in batches:
+            for block in zip(*[batch.column(i) for i in range(len(BLOCK))], strict=True):
+                held = cls([], features)
+                for (name, kind), data in zip(BLOCK.items(), block, strict=True):
+                    setattr(held, name, np.frombuffer(data.as_buffer(), kind))
+                held.columns = held.columns.reshape(features, -1)
+                yield held
+
     def add(self, tree: Tree) -> None:
         self.margin = self.margin + tree.values(self.columns, binned=True)
 
@@ -262,20 +279,22 @@ class Held:
             for k in (0, 1):
                 counts[k] = np.bincount(at[self.label[self.held_out] == k], minlength=AUC_BINS)
         tree, settings = request.tree, request.settings
-        total = np.zeros((len(request.nodes), len(request.columns), 2, MAX_BINS))
+        under = {n: tree.below(n) for n in request.nodes}
+        # each row is summed once, at the lowest asked node or leaf that it reaches; a node's sums are those of all ends under it
+        last = frozenset(n for n in request.nodes if not any(m in under for m in under[n][1:]))
+        ends = sorted({m for n in request.nodes for m in under[n] if m in last or (tree.feature[m] < 0 and n not in last)})
         place = np.full(len(tree.feature), -1)
-        place[request.nodes] = np.arange(len(request.nodes))
-        rows = np.flatnonzero(~self.held_out & in_sample(self.draw, request.number, settings.rows, settings.seed))
-        gradient, curvature = self.weight * (p - self.label), self.weight * p * (1 - p)
-        for rows, node in tree.levels(self.columns, rows):
-            at = place[node]
-            some = rows[at >= 0]
-            base = at[at >= 0] * MAX_BINS
-            for i, f in enumerate(request.columns if len(some) else []):
-                key = base + self.columns[f][some]
-                for k, values in enumerate((gradient, curvature)):
-                    total[:, i, k] += np.bincount(key, values[some], len(request.nodes) * MAX_BINS).reshape(-1, MAX_BINS)
-        return total, counts
+        place[ends] = np.arange(len(ends))
+        at = place[tree.leaves(self.columns, True, last)]
+        rows = np.flatnonzero(~self.held_out & in_sample(self.draw, request.number, settings.rows, settings.seed) & (at >= 0))
+        p, label, weight, base = p[rows], self.label[rows], self.weight[rows], at[rows] * MAX_BINS
+        gradient, curvature = weight * (p - label), weight * p * (1 - p)
+        parts = np.zeros((len(ends), len(request.columns), 2, MAX_BINS))
+        for i, f in enumerate(request.columns if len(rows) else []):
+            key = base + self.columns[f][rows]
+            for k, values in enumerate((gradient, curvature)):
+                parts[:, i, k] = np.bincount(key, values, len(ends) * MAX_BINS).reshape(-1, MAX_BINS)
+        return np.stack([parts[[k for k, m in enumerate(ends) if m in under[n]]].sum(0) for n in request.nodes]), counts
 
 
 def best_split(sums: np.ndarray, settings: Settings) -> dict:
@@ -331,7 +350,7 @@ def _grow(tree: Tree, node: int, found: dict, chosen: list[int], cuts: list[np.n
 
 
 class Rows:
-    """Binned rows at rest. Margins are written anew every ``SNAPSHOT`` trees; jobs in between apply the few trees since."""
+    """Blocks of binned rows at rest. Margins are written anew every ``SNAPSHOT`` trees; jobs in between apply the few trees since."""
 
     PARTIAL = "node int, sums binary"
     SPLIT = ("node int, column int, bin int, missing_left boolean, gain double, gradient double, curvature double, "
@@ -339,17 +358,31 @@ class Rows:
 
     def __init__(self, rows: DataFrame, features: int, tasks: int):
         self.features, self.tasks, self.recent, self.path = features, tasks, [], None
-        self._write(rows.repartition(tasks) if tasks > 1 else rows.coalesce(1))
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                held, n = [*held, batch], n + batch.num_rows
+                if n >= BLOCK_ROWS:
+                    yield packed([Held(held, features)])
+                    held, n = [], 0
+            if n:
+                yield packed([Held(held, features)])
+
+        blocks = rows.mapInArrow(task, BLOCK_SCHEMA)
+        self._write(blocks.repartition(tasks) if tasks > 1 else blocks.coalesce(1))
 
     def find(self, request: Request) -> Found:
         """The best splits of the request's nodes over all rows: one job."""
         recent, features, settings, columns = self.recent, self.features, request.settings, len(request.columns)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Held(batches, features)
-            for tree in recent:
-                held.add(tree)
-            sums, counts = held.sums(request)
+            sums, counts = Held([], features).sums(request)
+            for held in Held.blocks(batches, features):
+                for tree in recent:
+                    held.add(tree)
+                for total, more in zip((sums, counts), held.sums(request), strict=True):
+                    total += more
             nodes, data = list(request.nodes), [s.tobytes() for s in sums]
             if request.count_held_out:
                 nodes, data = [*nodes, -1], [*data, counts.tobytes()]
@@ -372,11 +405,10 @@ class Rows:
             recent, features = self.recent, self.features
 
             def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    held = Held([batch], features)
+                for held in Held.blocks(batches, features):
                     for one in recent:
                         held.add(one)
-                    yield batch.set_column(4, "margin", pa.array(held.margin))
+                    yield packed([held])
 
             self._write(self.rows.mapInArrow(task, self.rows.schema))
             self.recent = []
@@ -451,7 +483,8 @@ def boost(rows: DataFrame, features: list[str], settings: Settings = Settings(),
     some = binned.where(~F.col("held_out") & (F.pmod(F.xxhash64("draw"), F.lit(1 << 20)) < share)).limit(sample)
     few = Held(some.toArrow().to_batches(), len(features))
     scale = train / max(1, len(few.label))
-    whole = Rows(binned, len(features), -(-n // rows_each))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    whole = Rows(binned, len(features), max(-(-n // rows_each), min(cores, -(-n // LEAST_ROWS))))
     while True:
         number, width = len(model.trees), len(features)
         rng = np.random.default_rng([settings.seed, number])

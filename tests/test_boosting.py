@@ -120,3 +120,29 @@ def test_saved_and_loaded(spark, rows, model, tmp_path):
     model.save(spark, str(tmp_path / "m"))
     loaded = boosting.BoostedTrees.load(spark, str(tmp_path / "m"))
     assert loaded == model
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_rows_at_rest_are_blocks_and_give_the_sums_of_all_rows(rows, model, tasks):
+    """Jobs read a few buffers a block, not rows, also after margins are written anew; a node's sums are those of its rows."""
+    cuts = boosting.cut_points(rows.where("NOT held_out"), FEATURES)
+    binned = boosting.materialize(boosting.binned_rows(rows, FEATURES, cuts, [F.col("id")]), "binned")
+    held, whole = Held(binned.toArrow().to_batches(), 4), boosting.Rows(binned, 4, tasks)
+    for tree in model.trees[:boosting.SNAPSHOT + 1]:
+        held.add(tree)
+        whole.add(tree)
+    assert whole.rows.count() < 100
+    tree = model.trees[-1]
+    inner = [n for n, f in enumerate(tree.feature) if f >= 0]
+    request = Request(Settings(), 7, tree, inner, [0, 2, 3], False)
+    sums, _ = held.sums(request)
+    p = 1 / (1 + np.exp(-held.margin))
+    drawn = ~held.held_out & boosting.in_sample(held.draw, 7, 0.8, 42)
+    leaf = tree.leaves(held.columns, True)
+    for node, own in zip(inner, sums, strict=True):
+        at = drawn & np.isin(leaf, tree.below(node))
+        assert own[1, 0] == pytest.approx(np.bincount(held.columns[2][at], (p - held.label)[at], boosting.MAX_BINS))
+    found = whole.find(request)
+    assert {n: found[n]["gain"] for n in inner} == pytest.approx(
+        {n: best_split(own, Settings())["gain"] for n, own in zip(inner, sums, strict=True)})
+    whole.remove()
