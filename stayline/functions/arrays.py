@@ -15,6 +15,11 @@ def cells(steps: Column) -> Column:
     return F.flatten(steps)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: Spark computes what stands in a lambda anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(values: Column) -> Column:
     """Sum of an array without NULLs."""
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
@@ -28,8 +33,11 @@ def mean(values: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """Population standard deviation of an array without NULLs."""
-    middle = total(values) / F.size(values)
-    return F.sqrt(total(F.transform(values, lambda v: (v - middle) * (v - middle))) / F.size(values))
+    def of(own: Column) -> Column:
+        return bound(total(own) / F.size(own), lambda middle: F.sqrt(
+            total(F.transform(own, lambda v: (v - middle) * (v - middle))) / F.size(own)))
+
+    return bound(values, of)
 
 
 def column(steps: Column, i: int) -> Column:

@@ -120,7 +120,7 @@ def fill_zero(steps: Column) -> Column:
 def fill_column_mean(steps: Column, means: Column | None = None) -> Column:
     """Missing values become the encounter's mean of that vital, 0 when it has none."""
     means = arrays.column_means(steps) if means is None else means
-    return arrays.map_cells(steps, lambda v, i: F.coalesce(v, means[i]))
+    return arrays.bound(means, lambda own: arrays.map_cells(steps, lambda v, i: F.coalesce(v, own[i])))
 
 
 def training_sequences(sequences: DataFrame) -> DataFrame:
@@ -179,8 +179,7 @@ def inference_sequences(resolved: DataFrame, policy: str = "api") -> DataFrame:
 
 def offline_flat(steps: Column) -> Column:
     """Whether a padded and scaled sequence hardly varies or never rises above zero."""
-    values = arrays.cells(steps)
-    return (arrays.spread(values) < FLAT) | (F.array_max(values) < FLAT)
+    return arrays.bound(arrays.cells(steps), lambda values: (arrays.spread(values) < FLAT) | (F.array_max(values) < FLAT))
 
 
 def fit_scaler(sequences: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from stayline.functions import arrays
 from stayline.operators import sequences as seq
 from stayline.schema import SEQUENCE_VITALS
 
@@ -145,3 +147,13 @@ def test_hours_do_not_depend_on_the_session_zone(spark, frame, zone):
         assert hour == "2020-03-08 02:00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_spread_takes_time_in_proportion_to_the_values(spark):
+    """The mean is computed once, not for every value: these would take minutes."""
+    n = 40_000
+    begin = time.monotonic()
+    row = spark.range(1).select(arrays.spread(F.sequence(F.lit(1), F.lit(n)).cast("array<double>")).alias("s"),
+                                arrays.spread(F.lit(None).cast("array<double>")).alias("none")).first()
+    assert row["s"] == pytest.approx(math.sqrt((n * n - 1) / 12)) and row["none"] is None
+    assert time.monotonic() - begin < 20
