@@ -172,15 +172,17 @@ def parsed(records: DataFrame, firsts: DataFrame, wanted: list[str]) -> DataFram
     number = F.array_position(F.array(*map(F.lit, headers)), clean("first")) - 1
     of_file = firsts.select("file", number.cast("int").alias("header"), clean("first").alias("first")).distinct()
     fields = F.from_csv(clean("record"), ", ".join(f"c{i} string" for i in range(width)), {"escape": QUOTE})
+    # a generator runs once a row; a plain column is computed again in every filter that Spark moves below it
     rows = records.join(F.broadcast(of_file), "file").where(
-        (F.col("header") >= 0) & (clean("record") != "") & (clean("record") != F.col("first"))).select("header", fields.alias("f"))
+        (F.col("header") >= 0) & (clean("record") != "") & (clean("record") != F.col("first"))).select(
+        "header", F.inline(F.array(fields)))
 
     def value(name: str):
         places: dict[int, list[int]] = {}
         for k, n in enumerate(names):
             if name in n:
                 places.setdefault(n.index(name), []).append(k)
-        cases = [(F.col("header").isin(ks), F.col(f"f.c{i}")) for i, ks in places.items()]
+        cases = [(F.col("header").isin(ks), F.col(f"c{i}")) for i, ks in places.items()]
         if len(cases) == 1 and len(next(iter(places.values()))) == len(names):
             return cases[0][1]
         return reduce(lambda c, case: c.when(*case), cases[1:], F.when(*cases[0]))
@@ -189,8 +191,8 @@ def parsed(records: DataFrame, firsts: DataFrame, wanted: list[str]) -> DataFram
 
 
 def clean(column: str):
-    """A line without the carriage return that ends it."""
-    return F.regexp_replace(column, "\r$", "")
+    """A line without the carriage return that ends it; few lines have any, and a search costs less than a pattern."""
+    return F.when(F.contains(F.col(column), F.lit("\r")), F.regexp_replace(column, "\r$", "")).otherwise(F.col(column))
 
 
 def read_records(spark: SparkSession, path: str, wanted: list[str], one_line: bool) -> DataFrame:
