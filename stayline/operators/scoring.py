@@ -100,4 +100,5 @@ def unscored(encounters: DataFrame, log: DataFrame | None, scored_to=None, laten
     if scored_to is not None:
         since = F.lit(scored_to).cast("timestamp_ntz") - F.expr(lateness)
         recent = encounters.where(F.col("admit_time").isNull() | (F.col("admit_time") >= since))
-    return recent if log is None else recent.join(log.select("encounter_id"), "encounter_id", "left_anti")
+    # the files of a log are so much smaller than its rows that Spark would broadcast millions of keys
+    return recent if log is None else recent.join(log.select("encounter_id").hint("merge"), "encounter_id", "left_anti")
