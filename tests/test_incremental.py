@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
+from stayline.operators import scoring
 from stayline.operators.boosting import BoostedTrees
 from stayline.plans import scoring as job
 from stayline.schema import MODEL_FEATURES
@@ -62,3 +66,15 @@ def test_versions_have_logs_and_marks_of_their_own(spark, job_of):
 def test_encounters_without_features_are_tried_again(job_of):
     assert job_of([(1, 0), (500, 0)]) == [1]
     assert job_of([(500, 0)]) == [1]
+
+
+def test_a_log_of_small_files_is_not_broadcast(spark, tmp_path):
+    """Keys in a row take next to no room in files, so their size says little about their number."""
+    spark.range(1000).select(F.col("id").alias("encounter_id")).write.parquet(str(tmp_path / "log"))
+    encounters = spark.range(900, 1100).select(F.col("id").alias("encounter_id"), F.lit(None).cast("timestamp_ntz").alias("admit_time"))
+    found = scoring.unscored(encounters, spark.read.parquet(str(tmp_path / "log")))
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        found.explain()
+    assert "Broadcast" not in said.getvalue() and "SortMergeJoin" in said.getvalue()
+    assert found.count() == 100

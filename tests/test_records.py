@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import contextlib
 import gzip
+import io
 import random
 
 import pytest
 
+from stayline.operators import loading
 from stayline.sources import extracts, records
 
 WANTED = ["id", "text", "other", "absent"]
@@ -102,3 +105,17 @@ def test_extracts_round_trip_through_parts(spark, tmp_path):
         extracts.write_extract(df, root, "labevents", compressed)
         got = extracts.read_extract(spark, root, "labevents")
         assert sorted(map(str, got.select(*df.columns).collect())) == spark_reads(spark, extracts.find_extract(spark, root, "labevents"), df.columns)
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    """Loaders filter by parsed columns, and Spark moves filters down: the parser must not be copied into them."""
+    folder = tmp_path / "hosp" / "labevents.csv"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("hadm_id,itemid,valuenum,charttime\n7,50912,1.5,2020-01-01 00:00:00\r\n,50912,2,\n8,1,2,\n")
+    rows = loading.load_labs(extracts.read_extract(spark, str(tmp_path), "labevents"))
+    assert [(r.encounter_id, r.valuenum) for r in rows.collect()] == [(7, 1.5)]
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        rows.explain(True)
+    optimized = said.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("from_csv(") == 1
