@@ -21,15 +21,15 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import id_remainder, materialize, numbered, per_worker, small_batches, words_of
+from stayline.llm.common import id_remainder, materialize, numbered, per_worker, small_batches
 from stayline.llm.token_counts import distinct_words, head_of
 
 WIDTH = 64
@@ -39,12 +39,13 @@ HEAD_WORDS = HEAD_CLASSES * WIDTH
 END_CLASS = HEAD_CLASSES + TAIL_CLASSES
 START = HEAD_WORDS + TAIL_CLASSES
 SYMBOLS = START + 1
-PAIRS = 8192
+PAIRS = 8192  # a power of two
 HEAD = 100_000
 ROUNDS = 2
 STEP = 0.4
 RARE = 20  # touches at which a row's change counts by half
 BATCH = 4096
+BLOCK = 512
 FOLDS, HELD_OUT = 5, 1
 
 #: first row of each kind of feature
@@ -66,7 +67,7 @@ def class_of(symbol: np.ndarray) -> np.ndarray:
 
 def class_rows(p1: np.ndarray, p2: np.ndarray, p3: np.ndarray) -> list[np.ndarray]:
     pair = (p1.astype(np.uint64) * np.uint64(SYMBOLS) + p2.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return [p1, SKIP2 + p2, SKIP3 + p3, PAIR + (pair >> np.uint64(40)).astype(np.int64) % PAIRS,
+    return [p1, SKIP2 + p2, SKIP3 + p3, PAIR + (pair >> np.uint64(40) & np.uint64(PAIRS - 1)).astype(np.int64),
             np.full(len(p1), BIAS)]
 
 
@@ -75,28 +76,68 @@ def word_rows(target: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.nda
             WORD_SKIP + class_of(p2) * HEAD_CLASSES + target]
 
 
+def centred_sums(weights: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[slice, ...]]:
+    """For ``BLOCK`` places at a time, which stay in the processor's cache: the places, sums of the rows of their
+    features less the largest sum, that sum, and the sums of exponentials. The arrays are used again for the next block.
+    """
+    size = min(BLOCK, len(rows[0]))
+    totals, others = np.empty((2, size, weights.shape[1]), weights.dtype)
+    for at in range(0, len(rows[0]), BLOCK):
+        places = slice(at, min(at + BLOCK, len(rows[0])))
+        total, other = totals[:places.stop - at], others[:places.stop - at]
+        np.take(weights, rows[0][places], axis=0, out=total, mode="clip")  # clip: no copy to check the places first
+        for r in rows[1:]:
+            total += np.take(weights, r[places], axis=0, out=other, mode="clip")
+        largest = total.max(1, keepdims=True)
+        total -= largest
+        yield places, total, largest, np.exp(total, out=other).sum(1, keepdims=True)
+
+
 def log_softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    total = weights[rows[0]]
-    for r in rows[1:]:
-        total += weights[r]
-    total -= total.max(1, keepdims=True)
-    total -= np.log(np.exp(total).sum(1, keepdims=True))
-    return total
-
-
-def segment_sums(rows: np.ndarray, first: np.ndarray, near: int = 12) -> np.ndarray:
-    """Sums of the runs of ``rows`` that begin at ``first``: the first ``near`` rows of all runs together, the rest run by run."""
-    ends = np.append(first[1:], len(rows))
-    order = np.argsort(first - ends, kind="stable")  # long runs first
-    start, length = first[order], (ends - first)[order]
-    total = np.zeros((len(first), rows.shape[1]), rows.dtype)
-    for k in range(min(near, int(length[0]))):
-        n = int(np.searchsorted(-length, -k, "left"))
-        total[:n] += rows[start[:n] + k]
-    for i in range(int(np.searchsorted(-length, -near, "left"))):
-        total[i] += rows[start[i] + near:start[i] + length[i]].sum(0)
+    out = np.empty((len(rows[0]), weights.shape[1]), weights.dtype)
+    for places, total, _, norm in centred_sums(weights, rows):
+        np.subtract(total, np.log(norm), out=out[places])
+    return out
+
+
+def log_softmax_at(weights: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """One column of ``log_softmax`` for each place."""
+    out = np.empty(len(target), weights.dtype)
+    for places, total, _, norm in centred_sums(weights, rows):
+        out[places] = total[np.arange(len(total)), target[places]] - np.log(norm[:, 0])
+    return out
+
+
+def segment_sums(rows: np.ndarray, first: np.ndarray, near: int = 12, far: int = 48,
+                 order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the runs of ``rows`` that begin at ``first``: of the first ``near`` rows, and of the rest.
+
+    Rows are added in their order, the first ``far`` rows of all runs together, those after them run by run. With
+    ``order`` the runs are of ``rows[order]``, which is never made whole.
+    """
+    order = np.arange(len(rows)) if order is None else order
+    length = np.diff(first, append=len(order))
+    short = np.minimum(length, far + 1)
+    long = np.argsort((far + 1 - short).astype(np.uint8), kind="stable")  # long runs first; 8 bits are sorted by radix
+    start, length = first[long], length[long]
+    more = len(first) - np.cumsum(np.bincount(short, minlength=far + 2))  # runs of more than k rows
+
+    def add(total: np.ndarray, begin: int, end: int) -> np.ndarray:
+        for k in range(begin, end):
+            n = more[k]
+            if not n:
+                break
+            total[:n] += rows.take(order[start[:n] + k], axis=0)
+        return total
+
+    total = add(rows.take(order[start], axis=0), 1, near)
+    if n := more[near]:
+        rest = add(rows.take(order[start[:n] + near], axis=0), near + 1, far)
+        for i, (a, b) in enumerate(zip((start[:more[far]] + far).tolist(), (start + length).tolist(), strict=False)):
+            rest[i] = np.add.reduce(np.concatenate([rest[i:i + 1], rows.take(order[a:b], axis=0)]), axis=0)
+        total[:n] += rest
     out = np.empty_like(total)
-    out[order] = total
+    out[long] = total
     return out
 
 
@@ -118,21 +159,28 @@ class Trainer:
                 self._step(word_rows(target[head], a[head], b[head]), s[head] % WIDTH)
 
     def _step(self, rows: list[np.ndarray], target: np.ndarray) -> None:
-        residual = -np.exp(log_softmax(self.weights, rows))
-        residual[np.arange(len(target)), target] += 1
-        for r in rows:
-            if r[0] == BIAS:
-                self._move(r[:1], residual.sum(0, keepdims=True), np.array([len(r)]))
-                continue
-            order = np.argsort(r.astype(np.int16), kind="stable")  # ROWS fits, and 16 bits are sorted by radix
-            ordered = r[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            row, gradient = ordered[first], segment_sums(residual[order], first)
-            self._move(row, gradient, np.diff(np.append(first, len(ordered))))
+        n = len(target)
+        residual = log_softmax(self.weights, rows)
+        for at in range(0, n, BLOCK):
+            block = residual[at:at + BLOCK]
+            np.negative(np.exp(block, out=block), out=block)
+        residual[np.arange(n), target] += 1
+        if rows[-1][0] == BIAS:
+            rows = rows[:-1]
+            self._move(np.array([BIAS]), residual.sum(0, keepdims=True), np.array([n]))
+        touched = np.concatenate(rows).astype(np.int16)  # ROWS fits, and 16 bits are sorted by radix
+        order = np.argsort(touched, kind="stable")
+        ordered = touched[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self._move(ordered[first].astype(np.int64), segment_sums(residual, first, order=order % n),
+                   np.diff(first, append=len(ordered)))
 
     def _move(self, row: np.ndarray, gradient: np.ndarray, times: np.ndarray) -> None:
+        """Rows differ from each other; ``gradient`` is used up."""
         self.energy[row] += np.einsum("ij,ij->i", gradient, gradient) / 8
-        self.weights[row] += gradient * (self.step / np.sqrt(self.energy[row]))[:, None]
+        gradient *= (self.step / np.sqrt(self.energy[row]))[:, None]
+        gradient += self.weights.take(row, axis=0)
+        self.weights[row] = gradient
         self.touched[row] += times
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,58 +189,96 @@ class Trainer:
 
 
 class Lexicon:
-    """The broadcast part: words with their places, and per place a symbol and two values."""
+    """The broadcast part: words with their places, and per place a symbol and two values (zero: not broadcast)."""
 
     def __init__(self, words: list[bytes], base: np.ndarray, share: np.ndarray):
-        self.place = {w: i for i, w in enumerate(words)}
-        self.base, self.share = base, share
-        self.symbols = np.array([i if i < HEAD_WORDS else HEAD_WORDS + tail_class(w) for i, w in enumerate(words)],
-                                np.int64)
-
-    def read(self, texts: list[str | None]):
-        """Per text the places of its words (-1: not broadcast); for all texts, targets and histories."""
-        places, targets, others = [], [], []
-        for text in texts:
-            words = words_of(text)
-            found = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
-            symbols = np.empty(len(words) + 4, np.int64)
-            symbols[:3] = symbols[-1] = START
-            inner = symbols[3:-1]
-            inner[:] = self.symbols[found] if len(self.symbols) else HEAD_WORDS
-            rest = np.flatnonzero(found < 0)
-            unknown = [words[i] for i in rest.tolist()]
-            inner[rest] = [HEAD_WORDS + tail_class(w) for w in unknown]
-            places.append(found)
-            targets.append(symbols)
-            others.append(Counter(unknown))
-        flat = np.concatenate(targets) if targets else np.empty(0, np.int64)
-        ends = np.cumsum([len(t) for t in targets])
-        keep = np.ones(len(flat), bool)
-        for t in range(3):
-            keep[np.concatenate([[0], ends[:-1]]).astype(np.int64) + t] = False
-        at = np.flatnonzero(keep)
-        return places, others, ends, at, flat
+        self.words = pa.array(words, pa.binary())
+        self.base, self.share = np.append(base, 0.0), np.append(share, 0.0)
+        self.symbols = np.append(np.array([i if i < HEAD_WORDS else HEAD_WORDS + tail_class(w)
+                                           for i, w in enumerate(words)], np.int64), START)
+
+    def read(self, texts: pa.Array) -> Reading:
+        """Words are split, lowered and looked up by Arrow, a batch at a time; no Python object is made of a common word."""
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words, sizes = pieces.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy()
+        whole = pc.binary_length(words).to_numpy() > 0  # white space at the ends of a text leaves empty words
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        if not whole.all():
+            words, owner = words.filter(pa.array(whole)), owner[whole]
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(place < 0)
+        unknown = words.take(pa.array(rare))
+        symbols = self.symbols[place]
+        endings = pc.binary_slice(unknown, -2).dictionary_encode()
+        classes = np.array([HEAD_WORDS + tail_class(w) for w in endings.dictionary.to_pylist()], np.int64)
+        symbols[rare] = classes[endings.indices.to_numpy()]
+        return Reading(len(texts), owner, place, symbols, owner[rare], unknown)
+
+
+class Reading:
+    """The words of some texts: per word its text, place (-1: not broadcast) and symbol; words not broadcast, their texts."""
+
+    def __init__(self, n: int, owner: np.ndarray, place: np.ndarray, symbols: np.ndarray, rare: np.ndarray,
+                 unknown: pa.Array):
+        self.n, self.owner, self.place, self.symbols, self.rare, self.unknown = n, owner, place, symbols, rare, unknown
+
+    def histories(self) -> tuple[np.ndarray, ...]:
+        """Targets, text by text, each text's end (START) after its words, and the one, two and three symbols before them."""
+        flat = np.full(len(self.symbols) + 4 * self.n, START)
+        flat[np.arange(len(self.symbols)) + 4 * self.owner + 3] = self.symbols
+        owner = self.owners()
+        at = np.arange(len(owner)) + 3 * (owner + 1)
+        return flat[at], flat[at - 1], flat[at - 2], flat[at - 3]
+
+    def owners(self) -> np.ndarray:
+        """The text of each target."""
+        return np.repeat(np.arange(self.n), np.bincount(self.owner, minlength=self.n) + 1)
+
+    def others(self) -> pa.Array:
+        """Per text the words that aren't broadcast, with how often it has them."""
+        coded = self.unknown.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        key, times = np.unique(self.rare * size + coded.indices.to_numpy(), return_counts=True)
+        edges = np.searchsorted(key, np.arange(self.n + 1) * size)
+        return pa.MapArray.from_arrays(pa.array(edges.astype(np.int32)), coded.dictionary.take(pa.array(key % size)),
+                                       pa.array(times.astype(np.int64)))
 
 
 class Scorer:
-    """Natural log probabilities of the model's factors."""
+    """Natural log probabilities of the model's factors.
+
+    Word softmaxes have few histories, (a class and the two classes before it), so their norms are computed once.
+    """
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
+        kinds = np.arange(HEAD_CLASSES * WIDTH * WIDTH)
+        rows = [WORD_BIAS + kinds // WIDTH ** 2, WORD_PREVIOUS + kinds // WIDTH % WIDTH * HEAD_CLASSES + kinds // WIDTH ** 2,
+                WORD_SKIP + kinds % WIDTH * HEAD_CLASSES + kinds // WIDTH ** 2]
+        self.largest, self.norm = np.empty((2, len(kinds)), weights.dtype)
+        for places, _, largest, norm in centred_sums(weights, rows):
+            self.largest[places], self.norm[places] = largest[:, 0], np.log(norm[:, 0])
 
     def score(self, symbols, p1, p2, p3) -> np.ndarray:
         out = np.empty(len(symbols))
         for at in range(0, len(symbols), BATCH):
             s, a, b, c = (x[at:at + BATCH] for x in (symbols, p1, p2, p3))
             target = class_of(s)
-            found = log_softmax(self.weights, class_rows(a, b, c))[np.arange(len(s)), target].astype(float)
+            found = log_softmax_at(self.weights, class_rows(a, b, c), target).astype(float)
             head = np.flatnonzero(s < HEAD_WORDS)
-            if len(head):
-                within = log_softmax(self.weights, word_rows(target[head], a[head], b[head]))
-                found[head] += within[np.arange(len(head)), s[head] % WIDTH]
+            found[head] += self.within(s[head], a[head], b[head])
             out[at:at + BATCH] = found
         return out
 
+    def within(self, symbols: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Of head words in their classes."""
+        target, word = np.divmod(symbols, WIDTH)
+        bias, *more = (self.weights[r, word] for r in word_rows(target, p1, p2))
+        for m in more:
+            bias += m
+        kind = (target * WIDTH + class_of(p1)) * WIDTH + class_of(p2)
+        return bias - self.largest[kind] - self.norm[kind]
+
 
 def first_weights(head_counts: np.ndarray, class_counts: np.ndarray) -> np.ndarray:
     """Weights at which the model is the smoothed unigram model: biases only."""
@@ -209,11 +295,6 @@ def first_weights(head_counts: np.ndarray, class_counts: np.ndarray) -> np.ndarr
 # --- training --------------------------------------------------------------------------------
 
 
-def histories(lexicon: Lexicon, texts: list[str | None]):
-    *_, at, flat = lexicon.read(texts)
-    return flat[at], flat[at - 1], flat[at - 2], flat[at - 3]
-
-
 def train_round(texts: DataFrame, lexicon, weights: np.ndarray, key: str, step: float = STEP) -> np.ndarray:
     """Weights after all tasks have learned from their share of ``texts`` (text), averaged by touches."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
@@ -232,7 +313,7 @@ def train_round(texts: DataFrame, lexicon, weights: np.ndarray, key: str, step:
         trainer = Trainer(shared.value, step)
         for batch in batches:
             for part in small_batches(batch, 1 << 20):
-                trainer.learn(*histories(words, part.column(0).to_pylist()))
+                trainer.learn(*words.read(part.column(0)).histories())
         yield from rows_of(*trainer.changes())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,28 +381,23 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
         weights = train_round(training.where(turn), lexicon, weights, key)
     model = spark.sparkContext.broadcast(weights)
     end_base = float(np.log10((n_docs + 0.5) / base_size))
-    fields = ("n_tokens", "known", "base", "model")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = per_worker(("lexicon", key), lambda: Lexicon(*lexicon.value))
-        scorer = Scorer(model.value)
+        lex, scorer = per_worker(("scorer", key), lambda: (Lexicon(*lexicon.value), Scorer(model.value)))
         for batch in batches:
             for part in small_batches(batch, 2 << 20):
-                places, others, ends, at, flat = lex.read(part.column(1).to_pylist())
-                factors = scorer.score(flat[at], flat[at - 1], flat[at - 2], flat[at - 3]) / np.log(10)
-                edges = np.searchsorted(at, np.concatenate([[0], ends]))
-                out: dict[str, list] = {f: [] for f in fields}
-                for i, found in enumerate(places):
-                    place = found[found >= 0]
-                    out["n_tokens"].append(len(found) + 1)
-                    out["known"].append(len(place) + (n_docs > 0))
-                    out["base"].append(end_base + float(lex.base[place].sum()))
-                    out["model"].append(float(factors[edges[i]:edges[i + 1]].sum() + lex.share[place].sum()))
+                found = lex.read(part.column(1))
+                factors = scorer.score(*found.histories()) / np.log(10)
+
+                def sums(owner: np.ndarray, values: np.ndarray | None = None, n: int = found.n) -> np.ndarray:
+                    return np.bincount(owner, values, n)
+
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()),
-                     pa.array(out["base"], pa.float64()), pa.array(out["model"], pa.float64()),
-                     pa.array([list(o.items()) for o in others], pa.map_(pa.binary(), pa.int64()))],
-                    names=["doc_id", *fields, "others"])
+                    [part.column(0), pa.array(sums(found.owner) + 1, pa.int64()),
+                     pa.array(sums(found.owner[found.place >= 0]) + int(n_docs > 0), pa.int64()),
+                     pa.array(sums(found.owner, lex.base[found.place]) + end_base),
+                     pa.array(sums(found.owners(), factors) + sums(found.owner, lex.share[found.place])),
+                     found.others()], names=["doc_id", "n_tokens", "known", "base", "model", "others"])
 
     scored = numbered(texts.mapInArrow(task, "doc_id long, n_tokens long, known long, base double, model double, "
                                              "others map<binary, bigint>"), "scored")
