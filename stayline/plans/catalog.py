@@ -51,15 +51,18 @@ def feature_table(spark, sf_dir):
     return features.encounter_features(tables_in)
 
 
-def training_rows(spark, sf_dir):
-    return features.training_set(feature_table(spark, sf_dir), labels(spark, sf_dir))
+def training_rows(spark, sf_dir, feature_rows=None):
+    """The training set; ``feature_rows``: the feature table, where it is at hand."""
+    if feature_rows is None:
+        feature_rows = feature_table(spark, sf_dir)
+    return features.training_set(feature_rows, labels(spark, sf_dir))
 
 
-def trained_tabular(spark, sf_dir) -> training.Trained:
+def trained_tabular(spark, sf_dir, feature_rows=None) -> training.Trained:
     """The tabular model of these tables, trained once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = training.train_tabular(training_rows(spark, sf_dir))
+        _TRAINED[key] = training.train_tabular(training_rows(spark, sf_dir, feature_rows))
     return _TRAINED[key]
 
 
@@ -173,9 +176,10 @@ def note_lookup(spark, sf_dir):
 def model_bundle(spark, sf_dir):
     """Train, save and load: rows scored, and scores that the loaded model gives otherwise."""
     path = scratch_path(spark, "bundle")
-    own = trained_tabular(spark, sf_dir).bundle
+    features_in = materialize(feature_table(spark, sf_dir), "features")  # for training and for scoring
+    own = trained_tabular(spark, sf_dir, features_in).bundle
     bundles.save_bundle(spark, own, path)
-    wanted, features_in = testdata.encounter(spark, sf_dir), materialize(feature_table(spark, sf_dir), "features")
+    wanted = testdata.encounter(spark, sf_dir)
     before, after = (
         scoring.tabular_scores(wanted, features_in, b).select("encounter_id", F.col("xgb_score").alias(name), "status")
         for name, b in (("before", own), ("after", bundles.load_bundle(spark, path)))

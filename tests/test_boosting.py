@@ -146,3 +146,19 @@ def test_rows_at_rest_are_blocks_and_give_the_sums_of_all_rows(rows, model, task
     assert {n: found[n]["gain"] for n in inner} == pytest.approx(
         {n: best_split(own, Settings())["gain"] for n, own in zip(inner, sums, strict=True)})
     whole.remove()
+
+
+def test_tasks_read_their_own_files_and_find_what_spark_reads(rows, model):
+    """Jobs over copies on a local file system don't send blocks through Spark's reader; both ways see each row once."""
+    cuts = boosting.cut_points(rows.where("NOT held_out"), FEATURES)
+    whole = boosting.Rows(boosting.binned_rows(rows, FEATURES, cuts, [F.col("id")]), 4, 3)
+    request = Request(Settings(), 2, Tree(), [0], [0, 1, 3], True)
+    for tree in model.trees[:boosting.SNAPSHOT + 2]:
+        whole.add(tree)
+    assert "parquet" not in whole.source._jdf.queryExecution().toString().lower()
+    own = whole.find(request)
+    whole.source, whole.read = whole.rows, iter
+    other = whole.find(request)
+    assert own[-1] == other[-1] and own[-1]["auc"] > 0.5
+    assert own[0] == pytest.approx(other[0]) and own[0]["curvature"] > 0
+    whole.remove()
